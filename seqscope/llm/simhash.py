@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -70,7 +71,7 @@ def close_pairs(values: np.ndarray, groups: np.ndarray, radius: int) -> Iterator
     """Pairs i < j of one group (equal, adjacent entries) whose values differ in at most radius bits.
 
     Each query meets the words of its group's bit planes, 64 values at a time: a plane's differing
-    bits are added to bitwise counters (ones, twos, fours, sticky overflow) by carry-save steps, and
+    bits are added to bitwise counters (ones, twos, fours, eights, sticky overflow) by carry-save steps, and
     every eight planes the words of which all lanes exceed the radius are abandoned.
     """
     n = len(values)
@@ -92,20 +93,22 @@ def close_pairs(values: np.ndarray, groups: np.ndarray, radius: int) -> Iterator
         ones = np.uint64(0xFFFFFFFFFFFFFFFF)
         alive = (ones >> (64 - high).astype(np.uint64)) & (ones << low.astype(np.uint64))
         q = values[query]
-        c0, c1, c2, over = (np.zeros(total, np.uint64) for _ in range(4))
+        c0, c1, c2, c3, over = (np.zeros(total, np.uint64) for _ in range(5))
         for plane in range(64):
             x = planes[plane][word] ^ (np.uint64(0) - ((q >> np.uint64(plane)) & one))
             carry = c0 & x
             c0 ^= x
             x = c1 & carry
             c1 ^= carry
-            over |= c2 & x
+            carry = c2 & x
             c2 ^= x
+            over |= c3 & carry
+            c3 ^= carry
             if plane % 8 == 7:
-                alive &= ~exceeds(c0, c1, c2, over, radius)
+                alive &= ~exceeds((c3, c2, c1, c0), over, radius)
                 keep = alive != 0
                 if not keep.all():
-                    query, word, alive, q, c0, c1, c2, over = (v[keep] for v in (query, word, alive, q, c0, c1, c2, over))
+                    query, word, alive, q, c0, c1, c2, c3, over = (v[keep] for v in (query, word, alive, q, c0, c1, c2, c3, over))
                 if not len(query):
                     break
         if len(query):
@@ -114,10 +117,10 @@ def close_pairs(values: np.ndarray, groups: np.ndarray, radius: int) -> Iterator
             yield query[k], 64 * word[k] + lane
 
 
-def exceeds(c0: np.ndarray, c1: np.ndarray, c2: np.ndarray, over: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes whose counter (ones c0, twos c1, fours c2, at least eight over) is above radius (0 to 7)."""
+def exceeds(counters: tuple[np.ndarray, ...], over: np.ndarray, radius: int) -> np.ndarray:
+    """Lanes whose counter is above radius (0 to 15): counters has eights, fours, twos and ones; over, sixteen at least."""
     above, equal = over.copy(), ~over
-    for counter, bit in ((c2, 4), (c1, 2), (c0, 1)):
+    for counter, bit in zip(counters, (8, 4, 2, 1), strict=True):
         if radius & bit:
             equal &= counter
         else:
@@ -139,17 +142,26 @@ def hang(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             root[:] = up
 
 
+def bands_for(n: int, radius: int) -> int:
+    """The number of bands with the least work: a row costs about as much as 64 comparisons."""
+
+    def work(k: int) -> float:
+        choices = comb(k, radius)
+        return choices * n * (64 + n / 2 ** (64 * (k - radius) / k + 1))
+
+    return min(range(radius + 1, radius + 5), key=work)
+
+
 def link(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Edges (a, b) among distinct fingerprints (column fp) that join all within radius differing bits.
 
     Of k bands of bits, two fingerprints within the radius agree in k - radius at least, so each goes
     to a bucket for each choice of so many bands, and only buckets are compared. k follows the number
-    of fingerprints, which changes the work but not the result. Buckets of over BLOCK fingerprints are
+    of fingerprints (see bands_for), which changes the work but not the result. Buckets of over BLOCK fingerprints are
     compared block against block in separate tasks. A bucket yields the edges of a spanning forest,
     at most one for each member, not all its pairs.
     """
-    n = fps.count()
-    k = radius + 1 + sum(n > 4_000_000 * 64**i for i in range(3))
+    k = bands_for(fps.count(), radius)
     edge = [round(i * 64 / k) for i in range(k + 1)]
     keys = []
     for i, bands in enumerate(combinations(range(k), k - radius)):
