@@ -6,9 +6,10 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,16 +57,15 @@ def save(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def per_batch(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Applies a function to each Arrow batch; batches for which it gives None are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = function(batch)
-            if out is not None and out.num_rows:
-                yield out
-
-    return df.mapInArrow(run, schema)
+def by_size(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts have at most so many bytes together (a longer text is a slice of its own)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
+    low = 0
+    while low < batch.num_rows:
+        before = int(sizes[low - 1]) if low else 0
+        high = max(low + 1, int(sizes.searchsorted(before + most, "right")))
+        yield batch.slice(low, high - low)
+        low = high
 
 
 def text_of(column: str | Column) -> Column:

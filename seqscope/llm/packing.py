@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save, text_of
+from .common import by_size, save, text_of
 from .pretoken import SPECIAL, VOCABULARY, path, pieces
 
 CAPACITY = 2048
 #: Pre-tokens whose ids a worker keeps; it starts anew beyond.
-CACHE = 250_000
+CACHE = 200_000
 #: Rows that one window group of the ranks has, about.
 GROUP_ROWS = 100_000
 
@@ -83,8 +83,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VO
         encode = encoder(vocabulary).encode
         names = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
         for batch in batches:
-            for low in range(0, batch.num_rows, 2048):
-                part = batch.slice(low, 2048)
+            for part in by_size(batch, 1):
                 rows = []
                 for doc, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True):
                     ids += b"\0\0\0\0"
