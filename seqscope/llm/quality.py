@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import by_size, text_of
 
 #: At most so many labelled documents, each of at most so many characters, fit the model.
 FIT_ROWS, FIT_CHARS = 4000, 100_000
@@ -273,7 +273,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     name = "__text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_size(whole, whole.schema.get_field_index(name))):
             found = model.scores([t or "" for t in batch.column(name).to_pylist()])
             columns = [batch.column(c) for c in batch.schema.names if c != name]
             names = [c for c in batch.schema.names if c != name]
@@ -290,7 +290,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_size(whole, whole.schema.get_field_index("text"))):
             found = model.scores([t or "" for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array(found >= THRESHOLD))
 

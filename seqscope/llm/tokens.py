@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import by_size, text_of
 from .pretoken import BLANK, SPECIAL, VOCABULARY, WHITE, path, pieces, table
 
 LIMIT = 512
@@ -201,7 +201,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, limit: int = LIM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = machine_of(vocabulary)
-        for batch in batches:
+        for batch in (part for whole in batches for part in by_size(whole, 1)):
             texts = batch.column(1).to_pylist()
             parts = [t.split(SPECIAL) for t in texts]
             flat = iter(counts_by_chunks([p for own in parts for p in own], machine))
