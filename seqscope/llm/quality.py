@@ -256,11 +256,13 @@ def held_out(id: str = "doc_id"):
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
     """A model fitted on at most `rows` labelled documents that aren't held out, of at most `chars` characters each.
 
-    Documents are taken by the smallest hashes of their ids, so a rerun takes the same ones. Labels
-    that are null or whose document is missing aren't used.
+    The labels with the smallest hashes of their ids are taken, so a rerun takes the same ones, and only
+    they are broadcast (rows is their bound): no text is shuffled. Labels that are null or whose document is missing aren't used.
     """
-    known = labels.where(~held_out() & F.col("quality").isNotNull()).select("doc_id", "quality")
-    joined = docs.select("doc_id", text_of("text").alias("text")).where(F.length("text") <= chars).join(known, "doc_id")
+    known = labels.where(~held_out() & F.col("quality").isNotNull()).select(F.col("doc_id").alias("__id"), "quality")
+    chosen = known.orderBy(F.xxhash64("__id"), "quality").limit(rows)
+    texts = docs.where(F.length("text") <= chars).select("doc_id", "text")
+    joined = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", text_of("text").alias("text"), "quality")
     sample = joined.orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "quality").limit(rows).toPandas()
     return fit(sample["text"].tolist(), (sample["quality"].to_numpy() == 1).astype(float))
 
