@@ -18,7 +18,7 @@ LIMIT = 512
 #: Code points of a chunk.
 CHUNK = 4096
 #: Transitions and pre-tokens' counts that a worker keeps; it starts anew beyond.
-STEPS, WORDS = 600_000, 600_000
+STEPS, WORDS = 800_000, 400_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -47,63 +47,77 @@ class Transducer:
         for i, pair in enumerate(model["merges"]):
             a, b = (bytes(letters[c] for c in x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             self._ranks[a, b] = i
-        tokens = [bytes([b]) for b in range(256)] + [a + b for a, b in self._ranks]
-        self._child: list[dict[int, int]] = [{}]
-        self._token: list[bytes | None] = [None]
-        for token in tokens:
+        self._tokens = [bytes([b]) for b in range(256)] + [a + b for a, b in self._ranks]
+        # The trie: child[node << 8 | byte], and the token that ends at a node.
+        self._child: dict[int, int] = {}
+        self._ends: list[int] = [-1]
+        self._inner: set[int] = set()
+        for number, token in enumerate(self._tokens):
             node = 0
             for b in token:
-                if b not in self._child[node]:
-                    self._child[node][b] = len(self._child)
-                    self._child.append({})
-                    self._token.append(None)
-                node = self._child[node][b]
-            self._token[node] = token
-        self._apart: dict[tuple[bytes, bytes], bool] = {}
+                self._inner.add(node)
+                if (key := node << 8 | b) not in self._child:
+                    self._child[key] = len(self._ends)
+                    self._ends.append(-1)
+                node = self._child[key]
+            self._ends[node] = number
+        self._words: dict[str, int] = {}
         self._reset()
 
     def _reset(self) -> None:
-        self._states: list[tuple] = [((0, b"", 0),)]
-        self._number: dict[tuple, int] = {self._states[0]: 0}
-        self._steps: dict[int, tuple[int, int]] = {}
-        self._words: dict[str, int] = {}
-        self._apart.clear()
+        self._states: list[tuple[int, ...]] = [(self._place(0, -1, 0),)]
+        self._number: dict[tuple[int, ...], int] = {self._states[0]: 0}
+        self._steps: dict[int, int] = {}
+        self._apart: dict[int, bool] = {}
+
+    @staticmethod
+    def _place(node: int, last: int, since: int) -> int:
+        """A place in a state as one number: trie node, last token before it (-1: none), tokens since."""
+        return node << 40 | (last + 1) << 16 | since + 0x8000
 
     def merged(self, parts: list[bytes]) -> list[bytes]:
         """The merges of the vocabulary by rank, lowest first."""
+        ranks = self._ranks
         while len(parts) > 1:
-            rank, i = min((self._ranks.get(p, 1 << 30), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
+            rank, i = min((ranks.get(p, 1 << 30), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
             if rank == 1 << 30:
                 break
-            parts = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2 :]]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def apart(self, a: bytes, b: bytes) -> bool:
-        """Whether token b may follow token a: the bytes of both encode as just these two."""
-        if (a, b) not in self._apart:
-            whole = self.merged([bytes([x]) for x in a + b])
-            self._apart[a, b] = whole == ([a, b] if a else [b])
-        return self._apart[a, b]
+    def apart(self, a: int, b: int) -> bool:
+        """Whether token b may follow token a (-1: none): the bytes of both encode as just these two."""
+        key = (a + 1) << 32 | b
+        if key not in self._apart:
+            pair = [self._tokens[a], self._tokens[b]] if a >= 0 else [self._tokens[b]]
+            self._apart[key] = self.merged([bytes([x]) for x in b"".join(pair)]) == pair
+        return self._apart[key]
 
-    def step(self, state: int, byte: int) -> tuple[int, int]:
-        """The next state and the tokens emitted (the change of their number)."""
+    def step(self, state: int, byte: int) -> int:
+        """The transition from a state by a byte: the next state * 64 + 32 + the change of the number of tokens."""
         key = state << 8 | byte
-        if key in self._steps:
-            return self._steps[key]
-        live = [(self._child[node][byte], last, since) for node, last, since in self._states[state] if byte in self._child[node]]
-        token, emitted = next((self._token[n], 1 - since) for n, last, since in live if self._token[n] and self.apart(last, self._token[n]))
-        after = tuple((n, last, since + emitted) for n, last, since in live if self._child[n]) + ((0, token, 0),)
+        live, token, emitted = [], -1, 0
+        for place in self._states[state]:
+            node = self._child.get(place >> 40 << 8 | byte)
+            if node is None:
+                continue
+            last, since = (place >> 16 & 0xFFFFFF) - 1, (place & 0xFFFF) - 0x8000
+            live.append((node, last, since))
+            if token < 0 and self._ends[node] >= 0 and self.apart(last, self._ends[node]):
+                token, emitted = self._ends[node], 1 - since
+        after = tuple(self._place(n, last, since + emitted) for n, last, since in live if n in self._inner) + (self._place(0, token, 0),)
         if after not in self._number:
             self._number[after] = len(self._states)
             self._states.append(after)
-        self._steps[key] = self._number[after], emitted
+        self._steps[key] = self._number[after] << 6 | emitted + 32
         return self._steps[key]
 
     def count_word(self, word: str) -> int:
         state, total, steps = 0, 0, self._steps
         for byte in word.encode("utf-8"):
-            state, emitted = steps.get(state << 8 | byte) or self.step(state, byte)
-            total += emitted
+            found = steps.get(state << 8 | byte) or self.step(state, byte)
+            state = found >> 6
+            total += (found & 63) - 32
         return total
 
     def count(self, texts: list[str]) -> list[int]:
