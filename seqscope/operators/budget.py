@@ -113,3 +113,19 @@ def first_source(rows: DataFrame, id: str, order: Sequence[str], values: Sequenc
     return rows.groupBy(id).agg(first.alias("r")).select(id, *[F.col(f"r.{v}").alias(v) for v in values])
 
 
+
+
+def matched_accounts(rows: DataFrame, revision: int) -> DataFrame:
+    """rows (method, first_tokens, second_tokens, chosen, budget) with what a compute-matched baseline decodes.
+
+    restart: chosen items are decoded a second time and the second answer counts; self_correct: each answer is
+    revised within the revision budget; the others (schedules) only have their first decode. Nothing goes beyond the item's
+    budget (null: none); an attempt that it cuts off counts as exhausted.
+    """
+    restart, correct = F.col("method") == "restart", F.col("method") == "self_correct"
+    wanted = F.when(restart & F.coalesce(F.col("chosen"), F.lit(False)), F.col("second_tokens")).when(correct, F.least(F.col("second_tokens"), F.lit(revision))).otherwise(F.lit(0)).cast("long")
+    first = F.least(F.col("first_tokens"), F.coalesce("budget", "first_tokens")).cast("long")
+    extra = F.least(wanted, F.coalesce(F.col("budget") - first, wanted)).cast("long")
+    out = rows.withColumn("primary_tokens_generated", first).withColumn("extra_decode_tokens", extra).withColumn("decode_token_events_total", F.col("primary_tokens_generated") + F.col("extra_decode_tokens"))
+    final = F.when(restart & (F.col("extra_decode_tokens") > 0), F.col("extra_decode_tokens")).otherwise(F.col("decode_token_events_total"))
+    return out.withColumn("final_tokens_generated", final).withColumn("exhausted", (first < F.col("first_tokens")) | (extra < wanted))

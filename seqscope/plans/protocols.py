@@ -607,3 +607,14 @@ def g01_stream_monitor(spark, sf_dir):
 def g01_generation_accounts(spark, sf_dir):
     runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("run_id"))
     return monitor.generate(runs, monitor.looping_source(), STREAM, POOLS, 120).drop("tokens")
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 3 WHEN 0 THEN 'restart' WHEN 1 THEN 'self_correct' ELSE 'periodic_backtrack' END AS method, CAST(l_quantity AS BIGINT) AS f, CAST(l_suppkey % 40 AS BIGINT) AS s2, l_orderkey % 2 = 0 AS chosen, CASE WHEN l_orderkey % 5 = 0 THEN 30 END AS budget FROM lineitem),
+    y AS (SELECT *, CASE WHEN method = 'restart' AND chosen THEN s2 WHEN method = 'self_correct' THEN least(s2, 20) ELSE 0 END AS wanted, least(f, coalesce(budget, f)) AS p FROM x), z AS (SELECT *, least(wanted, coalesce(budget - p, wanted)) AS extra FROM y)
+    SELECT method, CAST(sum(p) AS BIGINT) AS primary_tokens, CAST(sum(extra) AS BIGINT) AS extra_tokens, CAST(sum(CASE WHEN method = 'restart' AND extra > 0 THEN extra ELSE p + extra END) AS BIGINT) AS final_tokens, count_if(p < f OR extra < wanted) AS exhausted FROM z GROUP BY method""")
+def g08_matched_baselines(spark, sf_dir):
+    n = F.col("l_linenumber") % 3
+    method = F.when(n == 0, "restart").when(n == 1, "self_correct").otherwise("periodic_backtrack")
+    rows = table(spark, sf_dir, "lineitem").select(method.alias("method"), F.col("l_quantity").cast("long").alias("first_tokens"), (F.col("l_suppkey") % 40).cast("long").alias("second_tokens"), (F.col("l_orderkey") % 2 == 0).alias("chosen"), F.when(F.col("l_orderkey") % 5 == 0, F.lit(30)).alias("budget"))
+    out = budget.matched_accounts(rows, 20)
+    return out.groupBy("method").agg(F.sum("primary_tokens_generated").alias("primary_tokens"), F.sum("extra_decode_tokens").alias("extra_tokens"), F.sum("final_tokens_generated").alias("final_tokens"), F.count_if("exhausted").alias("exhausted"))

@@ -53,6 +53,7 @@ class Monitor:
     calibrator: Calibrator
     prompt: tuple[int, ...] = ()
     schedule: list[tuple[int, int]] | None = None
+    inject: tuple[int, ...] = ()
     tokens: list[Token] = field(default_factory=list)
     windows: list[dict[str, Any]] = field(default_factory=list)
     next_start: int = 0
@@ -170,6 +171,10 @@ class Monitor:
         self.indices = []
         self.rerolls += 1
         self.deleted += span
+        if self.inject:  # the kept tokens and the injected ones are the prompt from now on
+            self.prompt = (*self.prompt, *(t[0] for t in self.tokens), *self.inject)
+            self.tokens, self.windows, self.next_start = [], [], 0
+            self._rebuild()
         self.overrides |= {"temperature": b.temperature, "repetition_penalty": b.repetition_penalty} | ({"banned": banned} if b.ban_ngrams else {})
         return [{"type": "backtrack", "rollback_pos": n + cut, "span": span, "stale": stale, "banned": banned, "reroll": self.rerolls}]
 
@@ -210,6 +215,25 @@ def generate_run(run: Any, source: TokenSource, monitor: Monitor, max_new_tokens
     return out, "max_new_tokens"
 
 
+def scheduled_run(run: Any, source: TokenSource, schedule: list[tuple[int, int]], max_new_tokens: int) -> tuple[list[Token], list[tuple[int, int]], int]:
+    """The baseline without a detector: at each trigger (tokens kept, tokens to drop) the tail is dropped and drawn
+    again, at most one trigger a token. Returns the tokens, the (position, span) of the rollbacks and the tokens sampled."""
+    tokens: list[Token] = []
+    done: list[tuple[int, int]] = []
+    events, sampled = sorted(schedule), 0
+    for _ in range(max_new_tokens):
+        token = source(run, tokens, {"scheduled": len(done)} if done else {}, len(done))
+        if token is None:
+            break
+        sampled += 1
+        tokens.append(token)
+        if len(done) < len(events) and len(tokens) >= events[len(done)][0]:
+            cut = max(0, len(tokens) - max(1, events[len(done)][1]))
+            done.append((cut, len(tokens) - cut))
+            tokens = tokens[:cut]
+    return tokens, done, sampled
+
+
 SUMMARY = "run_id string, sampled long, emitted long, deleted long, windows long, alarms long, rerolls long, termination_reason string, tokens array<int>"
 
 

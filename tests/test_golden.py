@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from seqscope.config import ABLATIONS, Config, DetectorConfig, WindowConfig, ablate, dump, load
+from seqscope.config import ABLATIONS, Config, DetectorConfig, WindowConfig, ablate, dump, load, mismatches
 from seqscope.functions import columns as C
 from seqscope.functions import udfs
 from seqscope.operators import budget, calibration, candidates, detection, protocol, sequence, stats
@@ -188,3 +188,5 @@ def test_config():
     assert ablate(Config(), "token_level").window == WindowConfig(size=1, stride=1)
     assert ablate(Config(), "fixed_k_backtrack").backtrack.fixed_rollback == 128
     assert load(dump(Config()), {"window": {"size": 8}}).window.size == 8
+    assert mismatches(Config(), {"window": {"size": 64}, "detector": {"gammas": [0.1, 0.3, 0.5, 0.7]}}) == []
+    assert mismatches(Config(), {"window": {"size": 32}}) == ["window.size"]

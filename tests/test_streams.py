@@ -104,3 +104,13 @@ def test_freeze(tmp_path):
         store.assert_frozen(lock | {"manifest_sha256": "n"}, {"a": 1}, {"h": 2.0}, "n")
     store.write_json(str(tmp_path / "x.json"), lock)
     assert json.loads((tmp_path / "x.json").read_text()) == lock
+
+
+def test_injection_and_schedule():
+    m = monitor.Monitor(SMALL, monitor.Calibrator(POOLS), inject=(7, 8))
+    events, _ = monitor.generate_run("r", monitor.looping_source(length=120), m, 300)
+    assert any(e["type"] == "backtrack" for e in events)
+    assert m.prompt[-2:] == (7, 8)
+    tokens, done, sampled = monitor.scheduled_run("r", monitor.looping_source(length=60), [(20, 5), (30, 0)], 200)
+    assert done == [(15, 5), (29, 1)]
+    assert sampled - 6 == len(tokens) == 60
