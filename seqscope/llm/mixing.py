@@ -92,7 +92,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
     n_rows = base.count()
     groups = max(1, -(-n_rows // GROUP_ROWS)) * 8
     plan = targets(base)
-    a = F.filter(F.array(*[F.lit(p).cast("long") for p in PRIMES]), lambda p: F.pmod(F.col("nb"), p) != 0)
+    a = F.filter(F.array(*[F.lit(p).cast("long") for p in PRIMES]), lambda p: (F.pmod(F.col("nb"), p) != 0) | (F.col("nb") == 0))
     plan = plan.withColumn("words", F.round("target").cast("long")).withColumn("nb", idiv(f"source_size + {L - 1}", str(L)))
     plan = plan.withColumn("a", a[F.pmod(F.xxhash64("s", F.lit(seed)), F.size(a)).cast("int")])
     plan = plan.withColumn("short_at", F.when(F.col("nb") > 0, F.pmod(F.xxhash64("s", F.lit(seed + 1)), F.col("nb"))))
