@@ -17,6 +17,8 @@ from .common import components, save
 SEED = 42
 #: Buckets with more fingerprints are compared as pairs of blocks of about this many.
 BLOCK = 8192
+#: Bits that fingerprints of a bucket share at least.
+KEY_BITS = 12
 #: Lanes of 64 comparisons that are held in memory at once.
 LANES = 1 << 19
 
@@ -143,13 +145,18 @@ def hang(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
 
 
 def bands_for(n: int, radius: int) -> int:
-    """The number of bands with the least work: a row costs about as much as 64 comparisons."""
+    """The number of bands with the least work among those whose keys have KEY_BITS bits at least.
+
+    A row costs about as much as 64 comparisons. Small tables get the fewest of these bands, so that the
+    rows of a fingerprint are as many on all but very large ones.
+    """
+    fewest = next(k for k in range(radius + 1, 65) if 64 * (k - radius) / k >= KEY_BITS)
 
     def work(k: int) -> float:
         choices = comb(k, radius)
         return choices * n * (64 + n / 2 ** (64 * (k - radius) / k + 1))
 
-    return min(range(radius + 1, radius + 5), key=work)
+    return min(range(fewest, fewest + 3), key=work)
 
 
 def link(fps: DataFrame, radius: int = 4) -> DataFrame:
