@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqscope.llm import mixing, packing, quality, secrets, simhash
+from seqscope.llm import mixing, packing, quality, secrets, similar
 from seqscope.llm.common import save, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -18,14 +18,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, with five words a shingle.
+    """One document stays of those that links join: a Jaccard similarity of 0.8 or more of their five-word shingles.
 
-    Texts link at 8 or fewer of 64 differing bits. The angle between two texts' shingle counts has a
-    share of d / 64 of a half turn, so 8 bits stand for a cosine of 0.92, that of two texts of like
-    length of which 0.86 of all shingles are common. Texts at 0.8 differ in 9 bits or so, give or take 3;
-    a wider radius would link unrelated texts by chance (README).
+    MinHash bands propose the pairs, and each link is checked with the exact similarity (README has the recall).
     """
-    return simhash.drop_near_duplicates(docs, radius=8, width=5)
+    return similar.drop_similar(docs, width=5, tenths=8)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -249,7 +249,11 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 4, width: int = 4) -> Da
     Nulls come last, and ties of doc_id go to the smaller hash of the text; of rows equal in both, one stays.
     """
     signed = save(signatures(docs, width))
-    member = signed.join(clusters(signed, radius).select("fp", "root"), "fp")
+    return keep_least(docs, signed.join(clusters(signed, radius).select("fp", "root"), "fp"))
+
+
+def keep_least(docs: DataFrame, member: DataFrame) -> DataFrame:
+    """The row of docs that stays for each root of member (doc_id, content, root), as drop_near_duplicates says."""
     order = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "content")
     chosen = member.groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("kept_id"), F.col("o.content").alias("kept_content"))
     rows = docs.withColumn("__content", F.xxhash64("text"))

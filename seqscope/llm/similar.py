@@ -1,0 +1,144 @@
+"""Near-duplicates by shingle similarity: MinHash bands propose candidates, exact Jaccard similarities decide."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import components, save
+from .simhash import SEED, hang, keep_least
+
+#: Texts are candidates if all hashes of one band agree: at a similarity of 0.8, all but 7 in 100,000 pairs.
+BANDS = 24
+BAND_HASHES = 5
+#: Groups with more shingles are compared as pairs of blocks of about this many.
+BLOCK = 1 << 20
+#: Offsets and odd multipliers of the hashes.
+FLIP, TIMES = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_HASHES, 1), np.uint64)
+TIMES |= np.uint64(1)
+
+
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles, with the words of simhash.fingerprint; none without words."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if len(words) <= width:
+        return np.array([digest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    first = [0, *ends[: len(words) - width].tolist()]
+    last = (ends[width - 1 :] - 1).tolist()
+    return np.unique(np.array([digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)], np.uint64))
+
+
+def bands(found: np.ndarray) -> np.ndarray:
+    """A key for each band of a set of shingles; none of an empty set."""
+    if not len(found):
+        return np.zeros(0, np.int64)
+    least = np.full(BANDS * BAND_HASHES, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for k in range(0, len(found), 2048):
+        np.minimum(least, ((found[k : k + 2048] ^ FLIP) * TIMES).min(axis=1), out=least)
+    return np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(least.reshape(BANDS, -1))], np.uint64).view(np.int64)
+
+
+def signatures(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, content, node, size, bands): node stands for a text's set of shingles, size is its number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, content = batch.columns
+            sets = [shingles(t.as_py(), width) for t in texts]
+            node = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+            size = np.array([len(s) for s in sets], np.int64)
+            keys = [bands(s) for s in sets]
+            at = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+            keys = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int64), *keys])))
+            yield pa.RecordBatch.from_arrays([ids, content, pa.array(node), pa.array(size), keys], names=["doc_id", "content", "node", "size", "bands"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("content"))
+    return rows.mapInArrow(run, "doc_id long, content long, node long, size long, bands array<long>")
+
+
+def linked(sets: list[np.ndarray], tenths: int) -> np.ndarray:
+    """For each set, the first one of its class: classes join sets of a similarity of tenths / 10 at least. No set is empty.
+
+    A set is compared with those after it that are not yet in its class, all at once.
+    """
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    start = np.r_[0, np.cumsum(sizes)]
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    mark, root = np.zeros(len(names), bool), np.arange(n)
+    for i in range(n - 1):
+        rest = np.flatnonzero(root[i + 1 :] != root[i]) + i + 1
+        rest = rest[10 * np.minimum(sizes[rest], sizes[i]) >= tenths * np.maximum(sizes[rest], sizes[i])]
+        if not len(rest):
+            continue
+        mine = ids[start[i] : start[i + 1]]
+        mark[mine] = True
+        met = np.concatenate([ids[start[j] : start[j + 1]] for j in rest])
+        common = np.add.reduceat(mark[met], np.r_[0, np.cumsum(sizes[rest])[:-1]], dtype=np.int64)
+        mark[mine] = False
+        close = rest[10 * common >= tenths * (sizes[i] + sizes[rest] - common)]
+        if len(close):
+            hang(root, np.full(len(close), i), close)
+    return root
+
+
+def link(docs: DataFrame, signed: DataFrame, width: int, tenths: int) -> DataFrame:
+    """Edges (a, b) of nodes whose sets have a similarity of tenths / 10 at least, joining all that candidates join.
+
+    Texts with one set of shingles are one node. Bands with the same smallest node make one group of
+    candidates, so that near copies meet in few groups and not in one for each band. Groups of over
+    BLOCK shingles are compared block against block in separate tasks. A group yields the edges of a
+    spanning forest, at most one for each member, not all its pairs.
+    """
+    one = F.min(F.struct("doc_id", "content")).alias("one")
+    nodes = save(signed.where("size > 0").groupBy("node", "size").agg(one, F.first("bands").alias("bands")))
+    rows = nodes.select("node", "size", F.explode("bands").alias("key"))
+    least = rows.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pairs = save(rows.join(least, "key").select("leader", "node", "size").distinct())
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = pa.array([shingles(t.as_py(), width).tobytes() for t in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), sets], names=["member", "hashes"])
+
+    chosen = nodes.join(pairs.select("node").distinct(), "node").select(F.col("node").alias("member"), F.col("one.doc_id").alias("id"), F.col("one.content").alias("hash"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("content"))
+    texts = texts.join(chosen, texts.doc_id.eqNullSafe(chosen.id) & (texts.content == chosen.hash)).select("member", "text")
+    sets = texts.mapInArrow(hashes, "member long, hashes binary").dropDuplicates(["member"])
+
+    large = pairs.groupBy("leader").agg(F.sum("size").alias("total")).where(F.col("total") > BLOCK)
+    large = large.select(F.col("leader").alias("l"), F.ceil(F.col("total") / BLOCK).alias("n_blocks"))
+    dealt = pairs.join(large, pairs.leader == large.l, "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1).cast("long")))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+    dealt = dealt.select("leader", "node", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+
+    def run(group: pa.Table) -> pa.Table:
+        node = group["node"].to_numpy()
+        order = np.argsort(node)
+        root = linked([np.frombuffer(group["hashes"][int(i)].as_py(), np.uint64) for i in order], tenths)
+        moved = np.flatnonzero(root != np.arange(len(root)))
+        return pa.table({"a": node[order[moved]], "b": node[order[root[moved]]]})
+
+    groups = dealt.join(sets, dealt.node == sets.member).select("leader", "x", "y", "node", "hashes")
+    return groups.groupBy("leader", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def drop_similar(docs: DataFrame, width: int = 5, tenths: int = 8) -> DataFrame:
+    """The rows of docs of which one is left of all that links of a similarity of tenths / 10 or more join.
+
+    The similarity is the Jaccard index of the texts' sets of shingles; texts without words are alike.
+    Which row stays is as in simhash.drop_near_duplicates.
+    """
+    signed = save(signatures(docs, width))
+    roots = components(link(docs, signed, width, tenths)).withColumnRenamed("root", "top")
+    member = signed.join(roots, signed.node == roots.node, "left")
+    return keep_least(docs, member.select("doc_id", "content", F.coalesce("top", signed.node).alias("root")))

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqscope.llm import embeddings, fuzzy, html_text, mixing, packing, pretoken, quality, secrets, simhash, tokens, warc
+from seqscope.llm import embeddings, fuzzy, html_text, mixing, packing, pretoken, quality, secrets, simhash, similar, tokens, warc
 from seqscope.llm.common import components
 
 ODD = [None, "", " ", "\n\t ", "a", "it's we'll I'Ve 've''s", "one two three", "<|endoftext|>", "x<|endoftext|> y", "日本語 テキスト é", "a" * 3000, "password=abc token: Xy12345678 k", "tie tie", "tie tie", " x　y"]
@@ -398,6 +398,64 @@ def test_simhash(docs, rows, empty):
     assert {r.doc_id for r in left} == set(group.values())
 
 
+def brute_shingles(text, width=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1)) if words)
+
+
+@pytest.mark.parametrize("block", [1 << 20, 600])
+def test_similar(spark, docs, empty, monkeypatch, block):
+    """Texts at 0.8 and little more meet, those that share no more than an often repeated line or just miss 0.8 stay."""
+    monkeypatch.setattr(similar, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    made = []
+    for edits in (1, 2, 3, 4, 4, 4, 5, 6):  # 200 shingles, of which an edit changes five
+        base = fresh(204)
+        copy = list(base)
+        for k in range(edits):
+            copy[20 + 25 * k] = "edited"
+        made += [base, copy]
+    line = fresh(12)
+    made += [line * 30 + fresh(60) for _ in range(3)]
+    hub = fresh(104)
+    made += [[*hub[:k], "x", *hub[k + 1 :]] for k in range(10, 90, 4)] + [hub, hub]
+    # All ids are new; docs brings odd rows, with null ids among them.
+    df = docs.unionByName(spark.createDataFrame([(5000 + i, " ".join(w), "en", "src0", 1, "c", "s", 0.5) for i, w in enumerate(made)], SCHEMA))
+    rows = [(r.doc_id, brute_shingles(r.text)) for r in df.collect()]
+    sets = set(s for _, s in rows)
+    left, want = set(sets), []
+    while left:
+        todo, reach = [left.pop()], set()
+        while todo:
+            x = todo.pop()
+            reach.add(x)
+            close = {y for y in left if x and y and 10 * len(x & y) >= 8 * len(x | y)}
+            left -= close
+            todo += close
+        want.append(min((i for i, s in rows if s in reach and i is not None), default=None))
+    kept = similar.drop_similar(df)
+    assert kept.columns == df.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(want)
+    assert {5000, 5002, 5016, 5017, 5018} <= set(want) and not {5001, 5003, 5005, 5007} & set(want)
+    assert similar.drop_similar(empty).count() == 0
+
+
+def test_pipeline_takes_near_copies_at_four_fifths(spark):
+    """Pairs at 0.82 in five words all lose one document; documents with a much repeated line in common lose none."""
+    rng = np.random.default_rng(6)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    texts = []
+    for _ in range(20):
+        base = fresh(204)
+        texts += [base, [("edited" if i in (20, 70, 120, 170) else w) for i, w in enumerate(base)]]
+    line = fresh(12)
+    texts += [line * 50 + fresh(20) for _ in range(10)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, df, "").collect()}
+    assert kept == {*range(0, 40, 2), *range(40, 50)}
+
+
 @pytest.mark.parametrize("radius", [0, 3, 4, 7, 8, 12])
 def test_bit_planes(radius):
     rng = np.random.default_rng(radius)
