@@ -75,18 +75,9 @@ def running(df: DataFrame, by: str, order: str, value: str, out: str, group: str
     return joined.withColumn(out, F.col("__base") + F.coalesce(F.sum(value).over(within), F.lit(0))).drop("__by", "__group", "__base")
 
 
-def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """The mix of docs (doc_id, text, source): a row per document, and the mix itself.
-
-    First: doc_id, source, content (hash of the text), size, source_size, target, taken. Second, a row
-    for each piece of a document in a slot: shard, s, k (the source's slot), block, doc_id, content, start
-    (first word of the piece in its document), words.
-
-    A source takes round(target) words: whole passes over its blocks, then blocks in permuted order
-    with the last one cut. As no target is over 3 times its source's size, no word is taken more than
-    3 times. Documents without words (null or empty text) are taken 0 times; equal rows count as rows
-    of their own; an empty table gives an empty mix. Equal input and seed give an equal mix.
-    """
+def draw(docs: DataFrame, block_words: int, shard_slots: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """What mix returns, before it is summed up: rows of documents with s and at, the place of a row's first
+    word in its source, and the pieces with at and turn, the number of the pass over the source's blocks."""
     spark, L = docs.sparkSession, block_words
     base = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("content"), n_words(F.col("text")).alias("size")))
     n_rows = base.count()
@@ -125,42 +116,69 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHAR
     need = got.select("s", "got", F.col("under_at").alias("lo"), (F.col("under_at") + F.col("under")).alias("hi"))
     moved = locate(spare, need, n_over, max(1, n_sources)).select("s", "shard", (F.col("got") + F.col("ticket") - F.col("lo")).alias("k"))
     slots = kept.unionByName(moved).join(plan.select("s", "nb", "a", "short_at", "short", "passes", "rest"), "s")
-    slots = slots.withColumn("j", F.pmod("k", F.col("nb"))).withColumn("block", F.pmod(F.col("nb") - 1 + F.col("a") * (F.col("j") - F.col("short_at")), F.col("nb")))
+    slots = slots.withColumn("turn", idiv("k", "nb")).withColumn("j", F.pmod("k", F.col("nb"))).withColumn("block", F.pmod(F.col("nb") - 1 + F.col("a") * (F.col("j") - F.col("short_at")), F.col("nb")))
     before = L * F.col("j") - F.when(F.col("j") > F.col("short_at"), F.col("short")).otherwise(0)
     slots = slots.withColumn("take", F.when(idiv("k", "nb") < F.col("passes"), F.lit(L)).otherwise(F.greatest(F.lit(0), F.least(F.lit(L), F.col("rest") - before))))
     pieces = docs_at.where("size > 0").withColumn("block", F.explode(F.sequence(idiv("at", str(L)), idiv("at + size - 1", str(L)))))
     first = F.greatest(F.col("at"), L * F.col("block"))
     pieces = pieces.select("s", "block", "doc_id", "content", "at", (first - L * F.col("block")).alias("offset"), (first - F.col("at")).alias("start"), (F.least(F.col("at") + F.col("size"), L * (F.col("block") + 1)) - first).alias("length"))
-    mixed = slots.select("shard", "s", "k", "block", "take").join(pieces, ["s", "block"]).withColumn("words", F.greatest(F.lit(0), F.least("length", F.col("take") - F.col("offset")))).where("words > 0")
-    mixed = mixed.select("shard", "s", "k", "block", "doc_id", "content", "at", "start", "words")
+    mixed = slots.select("shard", "s", "k", "turn", "block", "take").join(pieces, ["s", "block"]).withColumn("words", F.greatest(F.lit(0), F.least("length", F.col("take") - F.col("offset")))).where("words > 0")
+    return docs_at, mixed.select("shard", "s", "k", "turn", "block", "doc_id", "content", "at", "start", "words")
+
+
+def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """The mix of docs (doc_id, text, source): a row per document, and the mix itself.
+
+    First: doc_id, source, content (hash of the text), size, source_size, target, taken. Second, a row
+    for each piece of a document in a slot: shard, s, k (the source's slot), block, doc_id, content, start
+    (first word of the piece in its document), words.
+
+    A source takes round(target) words: whole passes over its blocks, then blocks in permuted order
+    with the last one cut. As no target is over 3 times its source's size, no word is taken more than
+    3 times. Documents without words (null or empty text) are taken 0 times; equal rows count as rows
+    of their own; an empty table gives an empty mix. Equal input and seed give an equal mix.
+    """
+    docs_at, mixed = draw(docs, block_words, shard_slots, seed)
     taken = mixed.groupBy(F.col("s").alias("ts"), F.col("at").alias("tat")).agg(F.sum("words").alias("taken"))
     joined = docs_at.join(taken, (F.col("size") > 0) & (F.col("s") == F.col("ts")) & (F.col("at") == F.col("tat")), "left")
     per_doc = joined.select("doc_id", "source", "content", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    return per_doc, mixed.drop("at")
+    return per_doc, mixed.drop("at", "turn")
+
+
+def runs(mixed: DataFrame) -> DataFrame:
+    """(s, at, runs) of each row that the mix takes words of: its pieces as (start, words), those that adjoin in one pass as one."""
+    past = Window.partitionBy("s", "at", "turn").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    gap = mixed.withColumn("gap", F.col("start") - F.coalesce(F.sum("words").over(past), F.lit(0)))
+    run = gap.groupBy("s", "at", "turn", "gap").agg(F.min("start").alias("start"), F.sum("words").alias("words"))
+    return run.groupBy("s", "at").agg(F.sort_array(F.collect_list(F.struct("turn", "start", "words"))).alias("runs"))
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """The documents that the mix asks for, with the columns of docs: its decisions as texts.
+    """The documents that the mix asks for, with the columns of docs: its drawn pieces as texts.
 
-    A document of which `taken` words are taken comes taken div size times whole, and once more with its
-    first taken mod size words (up to the white space before the next) if that is not 0. n_chars, if docs has it, is that of the
-    new text. Documents without words are not in the mix. Words that a mix takes are so kept in number for each document.
+    A whole pass over a document's blocks gives the document whole. Of a pass that draws some of them,
+    each run of adjoining pieces gives a row: the text from the white space before its first word to
+    the end of its last. n_chars, if docs has it, is that of the new text. Documents without words are not in
+    the mix. Words that a mix takes are so kept, each as often as it is drawn.
     """
-    per_doc, _ = mix(docs)
+    if "content" in docs.columns:  # a clashing name steps aside
+        return apply_mix(docs.withColumnRenamed("content", "__own_content")).withColumnRenamed("__own_content", "content").select(*docs.columns)
+    docs_at, mixed = draw(docs, BLOCK_WORDS, SHARD_SLOTS, SEED)
     # Two hashes of the row stand for it; one alone is the join key, so that texts are shuffled once.
     row = ["doc_id", "source", "content"]
     key = [F.xxhash64(F.col("doc_id").cast("long"), "source", "content"), F.xxhash64(F.lit(1), F.col("doc_id").cast("long"), "source", "content")]
-    share = per_doc.where("taken > 0").withColumn("__n", F.row_number().over(Window.partitionBy(*row).orderBy("taken")))
-    share = share.select(key[0].alias("__s1"), key[1].alias("__s2"), "__n", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    if "content" in docs.columns:  # a clashing name steps aside
-        return apply_mix(docs.withColumnRenamed("content", "__own_content")).withColumnRenamed("__own_content", "content").select(*docs.columns)
+    share = docs_at.where("size > 0").join(runs(mixed), ["s", "at"]).withColumn("__n", F.row_number().over(Window.partitionBy(*row).orderBy("at")))
+    share = share.select(key[0].alias("__s1"), key[1].alias("__s2"), "__n", F.col("size").alias("__size"), F.col("runs").alias("__runs"))
     rows = docs.withColumn("content", F.xxhash64("text")).withColumns({"__k1": key[0], "__k2": key[1]}).repartition("__k1")
     rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy("__k1", "__k2").orderBy("content")))
     on = (rows["__k1"] == share["__s1"]) & (rows["__k2"] - share["__s2"] == 0) & (rows["__nth"] - share["__n"] == 0)
-    out = rows.join(share, on).withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), idiv("__taken - 1", "__size"))))
-    m = F.least(F.col("__size"), F.col("__taken") - F.col("__copy") * F.col("__size")).cast("int")
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)), F.lit(1), m), "")
-    out = out.withColumn("text", F.when(m == F.col("__size"), F.col("text")).otherwise(part))
+    out = rows.join(share, on)
+    whole = lambda r: r["words"] == F.col("__size")
+    words = F.when(F.exists("__runs", lambda r: ~whole(r)), F.regexp_extract_all("text", F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), F.lit(1)))
+    part = lambda w, r: F.array_join(F.slice(w, (r["start"] + 1).cast("int"), r["words"].cast("int")), "")
+    # As the element of an array, the words are taken out once and not for each run.
+    texts = F.transform(F.array(words), lambda w: F.transform("__runs", lambda r: F.when(whole(r), F.col("text")).otherwise(part(w, r))))[0]
+    out = out.withColumn("text", F.explode(texts))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

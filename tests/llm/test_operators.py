@@ -537,6 +537,23 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.apply_mix(empty).count() == 0
 
 
+def test_mixed_texts_are_the_drawn_pieces(spark):
+    """Word for word and as often: long documents, of which a part of the blocks is drawn, aren't cut to their first words."""
+    sizes = [(1000, "a"), (700, "a"), (5, "a"), (40, "b"), (900, "c"), (3000, "c"), (130, None)]
+    own = [(i, " ".join(f"d{i}w{k}" for k in range(n)), s) for i, (n, s) in enumerate(sizes)]
+    df = spark.createDataFrame([*own, own[0], own[2]], "doc_id long, text string, source string")
+    text = {i: t for i, t, _ in own}
+    _, mixed = mixing.mix(df)
+    want = Counter(f"d{r.doc_id}w{k}" for r in mixed.collect() for k in range(r.start, r.start + r.words))
+    got = mixing.apply_mix(df).collect()
+    assert Counter(w for r in got for w in r.text.split()) == want
+    assert all(r.text in text[r.doc_id] for r in got)
+    parts = [r for r in got if r.text != text[r.doc_id]]
+    assert any(not text[r.doc_id].startswith(r.text) for r in parts)
+    whole = Counter(r.doc_id for r in got if r.text == text[r.doc_id])
+    assert whole and all(whole[r.doc_id] <= 6 for r in got)
+
+
 # 10. Fuzzy fingerprints
 
 
