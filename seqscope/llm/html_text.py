@@ -29,8 +29,10 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Elements inside which an open paragraph can't be.
 BLOCKS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
+#: Of the elements whose text is left out, only scripts, styles and text areas run to the end of a page without an end tag.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(script|style|template|svg|noscript|iframe|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"|(<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|textarea)\b[^>]*>.*?(?:</\2\s*>|\Z)|<(template|svg|noscript|iframe|select)\b[^>]*>.*?</\3\s*>)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.DOTALL | re.IGNORECASE,
 )
@@ -88,20 +90,20 @@ def blocks(html: str) -> list[Block]:
         if m.start() > at:
             held.append((html[at : m.start()], anchors > 0))
         at = m.end()
-        name = (m[3] or "").lower()
+        name = (m[5] or "").lower()
         if not name:
             if m[1]:
                 held.append((" ", False))
             continue
         if name in INLINE:
             if name == "a":
-                anchors = 0 if m[2] else 1
+                anchors = 0 if m[4] else 1
             elif name == "br":
                 held.append((" ", False))
             continue
         flush()
         anchors = 0
-        if m[2]:
+        if m[4]:
             close((name,))
             continue
         if name in CLOSES:
@@ -109,7 +111,7 @@ def blocks(html: str) -> list[Block]:
         elif name in BLOCKS:
             close(("p",), frozenset(("div", "section", "article", "li", "td", "blockquote")))
         if name not in VOID:
-            words = " ".join(a or b or c for a, b, c in HINT.findall(m[4])) if "=" in m[4] else ""
+            words = " ".join(a or b or c for a, b, c in HINT.findall(m[6])) if "=" in m[6] else ""
             found = frozenset(OF_WORD[w] for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", words).lower()) if w in OF_WORD)
             stack.append((name, found))
     if at < len(html):

@@ -313,6 +313,12 @@ def test_html(spark, sf_dir):
     assert html_text.extract(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["<svg viewBox='0 0 1 1'/>", '<svg class="a>b" />', "<svg>", "<select><option>", "<iframe src=x>", "<noscript>", "<template>"])
+def test_text_after_elements_without_end_tag(tag):
+    assert "The article." in [b.text for b in html_text.blocks(f"<p>One.</p>{tag}<article><p>The article.</p></article>")]
+    assert [b.text for b in html_text.blocks("<p>A</p><svg/><p>B</p><svg><text>no</text></svg><p>C</p><select><option>no</select><style>no")] == ["A", "B", "C"]
+
+
 # 7. WARC
 
 
