@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,38 +24,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (tests), one of our own."""
+    """The folder of spark.checkpoint.dir; where it is unset on a local master (tests), one of our own.
+
+    A cluster without the setting is an error, as its executors don't see the driver's folders.
+    """
     context = spark.sparkContext
     folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="seqscope-")
+        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder in the shared one, if it is there."""
     with contextlib.suppress(Exception):
         jvm = spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def save(df: DataFrame, *partition_by: str) -> DataFrame:
-    """The same rows, written as Parquet into the shared folder and read back.
+def new_folder(spark: SparkSession, prefix: str = "seqscope") -> str:
+    """The path of a new folder in the shared one, which is removed when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/{prefix}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def save(df: DataFrame, *partition_by: str, path: str | None = None) -> DataFrame:
+    """The same rows, written as Parquet into the shared folder (or the folder path) and read back.
 
-    Written tables hold less than a checkpoint does and let later scans prune columns. They are
-    removed when the driver's Python ends.
+    Lineage ends there, so a lost executor costs no recomputation of what came before. Written tables
+    hold less than a checkpoint does and let later scans prune columns.
     """
-    path = f"{shared_dir(df.sparkSession)}/seqscope-{uuid.uuid4().hex}"
+    path = path or new_folder(df.sparkSession)
     df.write.parquet(path, partitionBy=list(partition_by) or None)
-    atexit.register(_remove, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -85,7 +94,9 @@ def components(edges: DataFrame) -> DataFrame:
     no component meets in one task. Minima are aggregated before they are shuffled. Nodes without
     an edge to another node have no row; null nodes are ignored.
     """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    spark = edges.sparkSession
+    folders = [new_folder(spark)]
+    edges = save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), path=folders[-1])
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
@@ -98,7 +109,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
         hung = large.join(small, large.a == small.k).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(hung.union(small.select(F.col("k").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
+        folders.append(new_folder(spark))
+        edges = save(hung.union(small.select(F.col("k").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct(), path=folders[-1])
+        remove(spark, folders[-2])  # the last round's edges
         after = state(edges)
         if after == before:
             break

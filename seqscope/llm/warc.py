@@ -11,7 +11,6 @@ import base64
 import hashlib
 import json
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, shared_dir, text_of
+from .common import new_folder, save, text_of
 
 #: Payload bytes after which a package is closed.
 PACKAGE_BYTES = 16 << 20
@@ -235,19 +234,19 @@ def deduplicated(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 def write(pages: DataFrame, folder: str, least_bytes: int = 0, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
     """Writes packages of all pages into a folder that all executors share; returns their uris (and records in each).
 
-    Rows of a task are sorted first, so a task that runs again writes the same packages under the same names.
+    Each attempt of a task writes files of its own, and the table of uris has those of the attempt
+    that Spark commits: a task that runs again or twice never replaces a package, and no file is renamed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, made, held, size = TaskContext.get().partitionId(), [], [], 0
+        task, made, held, size = TaskContext.get(), [], [], 0
 
         def close() -> None:
-            uri = f"{folder}/{task:06d}-{len(made):05d}.wacz"
+            uri = f"{folder}/{task.partitionId():06d}-{len(made):05d}-{task.taskAttemptId()}.wacz"
             system, path = pyarrow.fs.FileSystem.from_uri(uri)
             system.create_dir(path.rpartition("/")[0], recursive=True)
-            with system.open_output_stream(f"{path}.{TaskContext.get().taskAttemptId()}") as out:
+            with system.open_output_stream(path) as out:
                 out.write(package(held))
-            system.move(f"{path}.{TaskContext.get().taskAttemptId()}", path)
             made.append((uri, len(held)))
 
         for batch in batches:
@@ -270,7 +269,8 @@ def write(pages: DataFrame, folder: str, least_bytes: int = 0, package_bytes: in
 def read(packages: DataFrame) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to) of all records of packages.
 
-    A response's payload is checked against its digest; a revisit has none (null).
+    A response's payload is checked against its digest; a revisit has none (null). The url is as the
+    archive has it: percent-encoded where a header needs it, and empty where it was null.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,8 +299,12 @@ def read(packages: DataFrame) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Writes all pages into packages in the shared folder and reads them back."""
-    folder = f"{shared_dir(pages.sparkSession)}/packages-{uuid.uuid4().hex}"
+    """Writes all pages into packages in the shared folder and reads them back (see deduplicated and read).
+
+    A null html is an empty payload; rows equal in all columns each get a record; an empty table gives
+    no row; other columns of pages are not in the archive. The folder is removed when the driver's Python ends.
+    """
+    folder = new_folder(pages.sparkSession, "packages")
     if "://" not in folder:
         folder = folder.replace("file:", "file://", 1) if folder.startswith("file:") else f"file://{folder}"
     return read(write(pages, folder, least_bytes))
