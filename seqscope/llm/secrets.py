@@ -16,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import save, text_of
 
 
 @dataclass(frozen=True)
@@ -101,18 +101,26 @@ def queries_of(rules: Sequence[Rule]) -> dict[str, list[frozenset[str]]]:
     return {r.kind: trigram_query(r.pattern, True) for r in rules}
 
 
-def postings(docs: DataFrame, trigrams: Sequence[str]) -> DataFrame:
-    """(trigram, __k1, __k2): the documents that have a trigram of the list; nothing of their texts is kept."""
-    present = F.filter(F.array(*[F.when(F.contains("__low", F.lit(t)), F.lit(t)) for t in trigrams]), lambda t: t.isNotNull())
-    return docs.select("__k1", "__k2", F.explode(present).alias("trigram"))
+def indexed(docs: DataFrame, trigrams: Sequence[str]) -> DataFrame:
+    """docs with __grams, the rules' trigrams that each text has, found in one pass over the text."""
+    by_first: dict[str, list[str]] = {}
+    for t in trigrams:
+        by_first.setdefault(t[0], []).append(re.escape(t[1:]))
+    any_of = "|".join(f"{re.escape(c)}(?:{'|'.join(rest)})" for c, rest in sorted(by_first.items()))
+    return docs.withColumn("__grams", F.array_distinct(F.regexp_extract_all("__low", F.lit(f"(?=({any_of}))"), F.lit(1))))
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """(trigram, __k1, __k2): the documents that have a trigram; nothing of their texts is in a posting."""
+    return index.select("__k1", "__k2", F.explode("__grams").alias("trigram"))
 
 
 def intersect(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> DataFrame:
     """(__k1, __k2, __kinds): the documents that have all trigrams of a clause of some kind, and these kinds.
 
-    A posting counts for each clause that has its trigram; a clause holds for a document for which as
-    many different trigrams were counted as it has. Counts are combined before they are shuffled, and
-    keys are documents, so frequent trigrams do not meet in a task.
+    The postings of a document set a flag for each trigram, and a clause holds where all its flags
+    are set. Flags are combined before they are shuffled, and keys are documents, so the postings of
+    a frequent trigram do not meet in a task.
     """
     clauses = [(k, c) for k, cs in queries.items() for c in cs]
     has = {t: F.max(F.col("trigram") == t) for t in sorted({t for _, c in clauses for t in c})}
@@ -123,24 +131,54 @@ def intersect(index: DataFrame, queries: dict[str, list[frozenset[str]]]) -> Dat
     return grouped.select("__k1", "__k2", kinds.alias("__kinds")).where(F.size("__kinds") > 0)
 
 
+#: Elements that are folded into one list at once: lists of lists keep running values linear.
+FOLD = 256
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each of an array of whole numbers (0 or more), the sum or maximum (join) of those before it; 0 for the first.
+
+    Values are folded in parts of FOLD, and the parts' results likewise, so a long array takes no
+    time with the square of its length, as appending to one list does.
+    """
+    empty = F.array().cast("array<long>")
+
+    def fold(part: Column) -> Column:
+        step = lambda s, x: F.struct(join(s["at"], x).alias("at"), F.concat(s["list"], F.array(s["at"])).alias("list"))
+        return F.aggregate(part, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("list")), step)
+
+    def whole(parts: Column) -> Column:
+        bases = fold(F.transform(parts, lambda p: p["at"]))["list"]
+        rows = F.arrays_zip(parts.alias("part"), bases.alias("base"))
+        return F.flatten(F.transform(rows, lambda r: F.transform(r["part"]["list"], lambda x: join(r["base"], x))))
+
+    n = F.size(values)
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(FOLD)), lambda i: fold(F.slice(values, i + 1, FOLD)))
+    return F.when(n > 0, _bound(parts, whole)).otherwise(empty)
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """array<struct<start, end>> of a rule's leftmost non-overlapping matches that are long enough, in code points.
 
     The pieces between matches and the matches' own lengths, summed up, give the places.
     """
-    lengths = lambda group: F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(group)), F.length)
-    gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
+    lengths = lambda group: F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(group)), lambda x: F.length(x).cast("long"))
+    gaps = F.transform(F.split(text, rule.pattern, -1), lambda x: F.length(x).cast("long"))
     rows = F.arrays_zip(gaps.alias("gap"), lengths(0).alias("whole"), *[lengths(rule.group).alias("part")] * (rule.group > 0))
-    empty = F.array().cast("array<struct<start:int,end:int>>")
 
-    def step(state: Column, row: Column) -> Column:
-        start = state["at"] + row["gap"]
-        end = start + F.coalesce(row["whole"], F.lit(0))
-        span = F.when(row["part" if rule.group else "whole"] >= rule.least, F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(empty)
-        return F.struct(end.alias("at"), F.concat(state["spans"], span).alias("spans"))
+    def placed(rows: Column) -> Column:
+        before = running(F.transform(rows, lambda r: r["gap"] + r["whole"]), Column.__add__)
+        return F.transform(F.arrays_zip(rows.alias("r"), before.alias("at")), lambda x: F.struct((x["at"] + x["r"]["gap"]).alias("start"), (x["at"] + x["r"]["gap"] + x["r"]["whole"]).alias("end"), x["r"]["part" if rule.group else "whole"].alias("n")))
 
-    folded = F.aggregate(rows, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), folded["spans"]).otherwise(empty)
+    # The last piece has no match after it.
+    found = _bound(F.filter(rows, lambda r: r["whole"].isNotNull()), placed)
+    spans = F.transform(F.filter(found, lambda x: x["n"] >= rule.least), lambda x: F.struct(x["start"].cast("int").alias("start"), x["end"].cast("int").alias("end")))
+    return F.when(F.regexp_like(text, F.lit(rule.pattern)), spans).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
@@ -148,15 +186,17 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
     Null texts count as empty; equal rows each get their spans; an empty table gives none. Other
     columns of docs stay as they are (names that begin with two underscores are for the operator).
-    Only documents with postings are shuffled with their texts, to meet the candidates.
+    Documents with a trigram that some clause needs are written with their postings once; these and
+    no others are shuffled with their texts, to meet the candidates.
     """
     queries = queries_of(rules)
     trigrams = sorted({t for cs in queries.values() for c in cs for t in c})
     text = text_of("text")
-    keyed = docs.withColumn("__low", F.lower(text)).withColumn("__k1", F.xxhash64("doc_id", "text")).withColumn("__k2", F.xxhash64(F.lit(1), "doc_id", "text"))
+    keyed = docs.withColumns({"__low": F.lower(text), "__k1": F.xxhash64("doc_id", "text"), "__k2": F.xxhash64(F.lit(1), "doc_id", "text")})
     any_posting = reduce(Column.__or__, [F.contains("__low", F.lit(t)) for t in _covers(queries)], F.lit(False))
-    candidates = intersect(postings(keyed.where(any_posting), trigrams), queries).select(F.col("__k1").alias("__c1"), F.col("__k2").alias("__c2"), "__kinds")
-    some = keyed.where(any_posting).drop("__low")
+    index = save(indexed(keyed.where(any_posting), trigrams).drop("__low"))
+    candidates = intersect(postings(index), queries).select(F.col("__k1").alias("__c1"), F.col("__k2").alias("__c2"), "__kinds")
+    some = index.drop("__grams")
     some = some.join(candidates, (some["__k1"] == candidates["__c1"]) & (some["__k2"] == candidates["__c2"]), "left").drop("__c1", "__c2")
     none = keyed.where(~any_posting).drop("__low").withColumn("__kinds", F.lit(None).cast("array<string>"))
     rows = some.unionByName(none)
@@ -170,8 +210,15 @@ def scan(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 
 def _covers(queries: dict[str, list[frozenset[str]]]) -> list[str]:
-    """Of each clause one trigram, the last in order: without any of these, no clause can hold."""
-    return sorted({max(c) for cs in queries.values() for c in cs})
+    """Trigrams of which any clause has one: without any of these, no clause can hold.
+
+    Chosen one by one: that which most of the clauses left have, of these the last in order.
+    """
+    left, out = [c for cs in queries.values() for c in cs], []
+    while left:
+        out.append(max((t for c in left for t in c), key=lambda t: (sum(t in c for c in left), t)))
+        left = [c for c in left if out[-1] not in c]
+    return sorted(out)
 
 
 def _named(rank: int, kind: str) -> Callable[[Column], Column]:
@@ -193,22 +240,35 @@ def report(docs: DataFrame) -> DataFrame:
     return scan(docs.select("doc_id", "text")).select("doc_id", *[e.alias(k) for k, e in n.items()], F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
 
 
+#: Code points of the parts of a text that is cut at spans.
+PART = 1024
+
+
+def _between(parts: Column, start: Column, end: Column) -> Column:
+    """The code points [start, end) of a text in parts of PART: only the parts that hold them are joined."""
+    first = F.floor(start / PART).cast("int")
+    last = F.floor((F.greatest(end, start + 1) - 1) / PART).cast("int")
+    own = F.array_join(F.slice(parts, first + 1, last - first + 1), "")
+    return F.when(end > start, F.substring(own, (start - first * PART + 1).cast("int"), (end - start).cast("int"))).otherwise(F.lit(""))
+
+
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with each secret's characters replaced by [kind]; overlapping spans become one. n_chars follows.
+    """docs with each secret's characters replaced by [kind]; overlapping spans become one, of the first one's kind.
 
-    All rows stay, texts without secrets (and null ones) as they are.
+    All rows stay, texts without secrets (and null ones) as they are; n_chars, if docs has it, follows.
+    Equal rows are redacted alike; an empty table gives none.
     """
     hold = "__spans" if "spans" in docs.columns else None
-    rows = docs.withColumnRenamed("spans", hold) if hold else docs
-    found = scan(rows)
+    found = scan(docs.withColumnRenamed("spans", hold) if hold else docs)
 
-    def step(state: Column, x: Column) -> Column:
-        start = F.greatest(x["start"], state["at"])
-        text = F.when(x["end"] > state["at"], F.concat(state["text"], F.substring(F.col("text"), state["at"] + 1, start - state["at"]), F.when(x["start"] >= state["at"], F.concat(F.lit("["), x["kind"], F.lit("]"))).otherwise(F.lit("")))).otherwise(state["text"])
-        return F.struct(text.alias("text"), F.greatest(state["at"], x["end"]).alias("at"))
+    def cut(parts: Column) -> Column:
+        ends = F.transform("spans", lambda x: x["end"].cast("long"))
+        rows = F.arrays_zip(F.col("spans").alias("span"), running(ends, F.greatest).alias("at"))
+        piece = lambda r: F.concat(_between(parts, r["at"], r["span"]["start"].cast("long")), F.lit("["), r["span"]["kind"], F.lit("]"))
+        kept = F.transform(F.filter(rows, lambda r: r["span"]["start"] >= r["at"]), piece)
+        return F.concat(F.array_join(kept, ""), _between(parts, F.array_max(ends), F.length("text").cast("long")))
 
-    folded = F.aggregate("spans", F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), step)
-    clean = F.concat(folded["text"], F.substring(F.col("text"), folded["at"] + 1, F.length("text")))
+    clean = _bound(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PART}}}"), F.lit(0)), cut)
     out = found.withColumn("text", F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))).drop("spans")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
