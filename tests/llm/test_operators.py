@@ -14,8 +14,8 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from seqscope.llm import embeddings, fuzzy, html_text, mixing, packing, pretoken, quality, secrets, simhash, similar, tokens, warc
-from seqscope.llm.common import components
+from seqscope.llm import embeddings, fuzzy, html_text, mixing, packing, pretoken, quality, secrets, simhash, tokens, warc
+from seqscope.llm.common import components, shared_dir
 
 ODD = [None, "", " ", "\n\t ", "a", "it's we'll I'Ve 've''s", "one two three", "<|endoftext|>", "x<|endoftext|> y", "日本語 テキスト é", "a" * 3000, "password=abc token: Xy12345678 k", "tie tie", "tie tie", " x　y"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, content string, spans string, score double"
@@ -142,6 +142,23 @@ def test_secrets(spark, docs, rows, empty):
     assert secrets.redact(docs).columns == docs.columns
 
 
+def test_many_secrets_in_one_text(spark):
+    """Spans of many matches are placed and cut in parts, whatever their number is."""
+    texts = ["é🎉 token=abcdef%d x" % n * n for n in (1, 255, 256, 257, 3000)] + ["ab" * 2000 + " password=abcdef " + "0123456789abcdef" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in secrets.report(df).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    for i, t in enumerate(texts):
+        spans = brute_spans(t)
+        assert out[i].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        want, at = "", 0
+        for k, a, b in spans:
+            if a >= at:
+                want += t[at:a] + f"[{k}]"
+            at = max(at, b)
+        assert clean[i] == want + t[at:]
+
+
 def test_trigram_queries():
     assert secrets.trigram_query(r"[0-9a-f]{24,}", True) == []
     assert secrets.trigram_query(r"AKIA[A-Z]+", True) == [frozenset({"aki", "kia"})]
@@ -384,7 +401,7 @@ def test_simhash(docs, rows, empty):
     got = simhash.near_duplicates(docs).collect()
     want = [(r["doc_id"], brute_fingerprint(r["text"], 4)) for r in rows]
     assert Counter((r.doc_id, int(r.fingerprint, 16)) for r in got) == Counter(want)
-    group, root = {f: f for _, f in want}, {}
+    group = {f: f for _, f in want}
     for a in group:
         reach, todo = {a}, [a]
         while todo:
@@ -394,14 +411,8 @@ def test_simhash(docs, rows, empty):
                     reach.add(b)
                     todo.append(b)
         group[a] = min((i for i, f in want if f in reach and i is not None), default=None)
-        root[a] = min(reach)
     assert all(r.component_id == group[int(r.fingerprint, 16)] for r in got)
     assert simhash.near_duplicates(empty).count() == 0
-    kept = simhash.drop_near_duplicates(docs, 4, 4)
-    assert kept.columns == docs.columns
-    left = kept.collect()
-    assert len(left) == len(set(root.values()))
-    assert {r.doc_id for r in left} == set(group.values())
 
 
 def brute_shingles(text, width=5):
@@ -412,7 +423,7 @@ def brute_shingles(text, width=5):
 @pytest.mark.parametrize("block", [1 << 20, 600])
 def test_similar(spark, docs, empty, monkeypatch, block):
     """Texts at 0.8 and little more meet, those that share no more than an often repeated line or just miss 0.8 stay."""
-    monkeypatch.setattr(similar, "BLOCK", block)
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)
     rng = np.random.default_rng(5)
     fresh = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
     made = []
@@ -440,11 +451,11 @@ def test_similar(spark, docs, empty, monkeypatch, block):
             left -= close
             todo += close
         want.append(min((i for i, s in rows if s in reach and i is not None), default=None))
-    kept = similar.drop_similar(df)
+    kept = simhash.drop_near_duplicates(df)
     assert kept.columns == df.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter(want)
     assert {5000, 5002, 5016, 5017, 5018} <= set(want) and not {5001, 5003, 5005, 5007} & set(want)
-    assert similar.drop_similar(empty).count() == 0
+    assert simhash.drop_near_duplicates(empty).count() == 0
 
 
 def test_pipeline_takes_near_copies_at_four_fifths(spark):
@@ -462,13 +473,14 @@ def test_pipeline_takes_near_copies_at_four_fifths(spark):
     assert kept == {*range(0, 40, 2), *range(40, 50)}
 
 
-@pytest.mark.parametrize("radius", [0, 3, 4, 7, 8, 12])
+@pytest.mark.parametrize("radius", [0, 3, 4, 7, 8, 12, 24])
 def test_bit_planes(radius):
     rng = np.random.default_rng(radius)
     base = rng.integers(0, 2**63, 80, dtype=np.uint64)
-    near = [base ^ np.array([sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for _ in base], np.uint64) for k in (1, 3, 4, 5, 8, 9, 12, 15)]
+    near = [base ^ np.array([sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for _ in base], np.uint64) for k in (1, 3, 4, 5, 8, 9, 12, 15, 24, 25)]
     v = np.concatenate([base, *near])
     g = np.repeat(np.arange(4), len(v) // 4)
+    assert len(g) == len(v)
     order = rng.permutation(len(v))
     v = v[order]
     got = {p for i, j in simhash.close_pairs(v, g, radius) for p in zip(i.tolist(), j.tolist(), strict=True)}
@@ -500,6 +512,38 @@ def test_link_splits_large_buckets(spark, monkeypatch):
     assert sorted(got.values()) == sorted(want)
 
 
+def test_rows_of_a_fingerprint_do_not_depend_on_the_table():
+    assert simhash.bands_for(4) == 7
+    assert [64 * (simhash.bands_for(r) - r) / simhash.bands_for(r) >= 24 for r in range(9)] == [True] * 9
+
+
+def test_wide_radius_reaches_four_fifths():
+    """Sets of any size at a similarity of just 0.8 differ in no more bits than the wide radius."""
+    rng = np.random.default_rng(8)
+    for n in (4, 8, 40, 400):
+        for _ in range(300):
+            base = rng.integers(0, 1 << 64, n + n // 4, dtype=np.uint64)
+            a, b = (np.unique(x) for x in (base[:n], base))
+            assert (simhash.set_fingerprint(a) ^ simhash.set_fingerprint(b)).bit_count() <= simhash.WIDE_RADIUS
+
+
+def test_shared_folder_is_demanded_on_a_cluster(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared_dir(Session())
+
+
 # 9. Mixing
 
 
