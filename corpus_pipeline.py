@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from seqscope.llm import mixing, packing, quality, secrets, similar
+from seqscope.llm import mixing, packing, quality, secrets, simhash
 from seqscope.llm.common import save, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,9 +20,10 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document stays of those that links join: a Jaccard similarity of 0.8 or more of their five-word shingles.
 
-    MinHash bands propose the pairs, and each link is checked with the exact similarity (README has the recall).
+    SimHashes of sets of shingles are compared by bit planes in blocks, and each link is checked with
+    the exact similarity (README has the recall).
     """
-    return similar.drop_similar(docs, width=5, tenths=8)
+    return simhash.drop_near_duplicates(docs, width=5, tenths=8)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
