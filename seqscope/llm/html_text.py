@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -29,13 +30,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Elements inside which an open paragraph can't be.
 BLOCKS = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
-#: Of the elements whose text is left out, only scripts, styles and text areas run to the end of a page without an end tag.
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|(<svg\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*/>|<(script|style|textarea)\b[^>]*>.*?(?:</\2\s*>|\Z)|<(template|svg|noscript|iframe|select)\b[^>]*>.*?</\3\s*>)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL | re.IGNORECASE,
-)
+#: Elements whose text is left out: the first ones run to the end of a page without an end tag, the others don't.
+RAW, HIDDEN = frozenset("script style textarea".split()), frozenset("template svg noscript iframe select".split())
+#: Containers that an implied end of a list item or cell, or of a paragraph, doesn't reach beyond.
+HOLDS_ITEM, HOLDS_TEXT = tuple("ul ol dl table div section article".split()), tuple("div section article li td blockquote".split())
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+#: What matters within a tag: its end, and an attribute's value that a quote opens.
+WITHIN_TAG = re.compile(r""">|=[\x20\t\r\n\f]{0,8}(["'])""")
 HINT = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 #: Tags and attribute words that emissions know.
 TAGS = "article main section aside nav header footer form head title body div p li ul ol dl table td th figure figcaption blockquote pre h1 h2 h3 h4 h5 h6 button label legend fieldset address details dialog".split()
@@ -49,6 +50,7 @@ WORDS = {
     "talk": "comment comments reply replies discussion disqus respond",
     "body": "content article post entry story text body main page",
 }
+KNOWN = frozenset(TAGS)
 OF_WORD = {w: k for k, ws in WORDS.items() for w in ws.split()}
 NAMES = [*(f"<{t}>" for t in TAGS), *WORDS, "words", "long", "short", "links", "stop", "signs", "digits", "mark", "first", "last", "bias"]
 PLACE = {n: i for i, n in enumerate(NAMES)}
@@ -56,66 +58,167 @@ PLACE = {n: i for i, n in enumerate(NAMES)}
 
 @dataclass
 class Block:
+    """A leaf block: its text, which of TAGS and of the kinds of WORDS its ancestors have, and the share of its text in links."""
+
     text: str
-    tags: tuple[str, ...]
+    tags: frozenset[str]
     hints: frozenset[str]
     links: float
 
 
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, attributes) of a page in order; kind: text (its text as name), start, end, or gap (left out like a space).
+
+    One pass: the search for a tag's end never starts twice over the same characters. An attribute's
+    value may hold > within quotes. If quotes leave a tag without an end, they don't count
+    for the rest of the page; what follows the last > of a page is text.
+    """
+    at, n, last = 0, len(html), html.rfind(">")
+    quotes = {q: html.rfind(q) for q in "\"'"}
+    missing: set[str] = set()  # elements without any further end tag
+
+    def tag_end(at: int) -> int:
+        """The place of the > that ends a tag, -1 if none does."""
+        nonlocal quotes
+        start = at
+        while quotes and (m := WITHIN_TAG.search(html, at)):
+            if not m[1]:
+                return m.start()
+            if quotes[m[1]] < m.end():
+                break
+            at = html.index(m[1], m.end()) + 1
+        if quotes:
+            quotes = {}
+        return html.find(">", start)
+
+    while at < n:
+        sign = html.find("<", at)
+        if sign < 0 or sign + 1 >= n:
+            break
+        follows = html[sign + 1]
+        if follows in "!?":
+            if sign > at:
+                yield "text", html[at:sign], ""
+            comment = html.startswith("<!--", sign)
+            end = html.find("-->", sign + 4) if comment else html.find(">", sign)
+            at = n if end < 0 else end + (3 if comment else 1)
+            continue
+        named = NAME.match(html, sign + 1 + (follows == "/"))
+        if not named or sign > last:
+            # A sign that opens no tag is text.
+            yield "text", html[at : sign + 1], ""
+            at = sign + 1
+            continue
+        name = named[0].lower()
+        end = tag_end(named.end())
+        if end < 0:
+            yield "text", html[at : named.end()], ""
+            at = named.end()
+            continue
+        if sign > at:
+            yield "text", html[at:sign], ""
+        at = end + 1
+        if follows == "/":
+            yield "end", name, ""
+            continue
+        if name in RAW or (name in HIDDEN and name not in missing):
+            if name == "svg" and html[end - 1] == "/":
+                yield "gap", name, ""
+                continue
+            if closing := _end_tag(name).search(html, at):
+                at = closing.end()
+                yield "gap", name, ""
+                continue
+            if name in RAW:
+                yield "gap", name, ""
+                return
+            missing.add(name)
+        yield "start", name, html[named.end() : end]
+    if at < n:
+        yield "text", html[at:], ""
+
+
+@cache
+def _end_tag(name: str) -> re.Pattern[str]:
+    return re.compile(rf"</{name}\s*>", re.IGNORECASE)
+
+
+class Open:
+    """The open elements of a page, with the places of each name, so that closing one takes no search."""
+
+    def __init__(self) -> None:
+        self._names: list[str] = []
+        self._hints: list[frozenset[str]] = []
+        self._places: dict[str, list[int]] = {}
+        self._known: Counter[str] = Counter()
+        self._kinds: Counter[str] = Counter()
+
+    def push(self, name: str, hints: frozenset[str]) -> None:
+        self._places.setdefault(name, []).append(len(self._names))
+        self._names.append(name)
+        self._hints.append(hints)
+        if name in KNOWN:
+            self._known[name] += 1
+        self._kinds.update(hints)
+
+    def close(self, names: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
+        """Closes the innermost element of names and all in it, unless one of within is further in."""
+        place = lambda many: max((self._places[x][-1] for x in many if self._places.get(x)), default=-1)
+        if (at := place(names)) < 0 or place(within) > at:
+            return
+        while len(self._names) > at:
+            name, hints = self._names.pop(), self._hints.pop()
+            self._places[name].pop()
+            if name in KNOWN:
+                self._known[name] -= 1
+            self._kinds.subtract(hints)
+
+    def tags(self) -> frozenset[str]:
+        return frozenset(k for k, n in self._known.items() if n)
+
+    def hints(self) -> frozenset[str]:
+        return frozenset(k for k, n in self._kinds.items() if n)
+
+
 def blocks(html: str) -> list[Block]:
     """The leaf blocks with text, in page order. Scripts, styles and the like have none; markup may be broken."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
+    stack = Open()
     held: list[tuple[str, bool]] = []
-    anchors = 0
+    anchors = False
 
     def flush() -> None:
         nonlocal held
         text = " ".join(unescape("".join(t for t, _ in held)).split())
         if text:
             linked = " ".join(unescape("".join(t for t, a in held if a)).split())
-            out.append(Block(text, tuple(t for t, _ in stack), frozenset().union(*(h for _, h in stack)), len(linked) / len(text)))
+            out.append(Block(text, stack.tags(), stack.hints(), len(linked) / len(text)))
         held = []
 
-    def close(names: tuple[str, ...], within: frozenset[str] = frozenset()) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                del stack[i:]
-                return
-            if stack[i][0] in within:
-                return
-
-    at = 0
-    for m in TOKEN.finditer(html):
-        if m.start() > at:
-            held.append((html[at : m.start()], anchors > 0))
-        at = m.end()
-        name = (m[5] or "").lower()
-        if not name:
-            if m[1]:
-                held.append((" ", False))
-            continue
-        if name in INLINE:
+    for kind, name, attributes in tokens(html):
+        if kind == "text":
+            held.append((name, anchors))
+        elif kind == "gap":
+            held.append((" ", False))
+        elif name in INLINE:
             if name == "a":
-                anchors = 0 if m[4] else 1
+                anchors = kind == "start"
             elif name == "br":
                 held.append((" ", False))
-            continue
-        flush()
-        anchors = 0
-        if m[4]:
-            close((name,))
-            continue
-        if name in CLOSES:
-            close(CLOSES[name], frozenset(("ul", "ol", "dl", "table", "div", "section", "article")))
-        elif name in BLOCKS:
-            close(("p",), frozenset(("div", "section", "article", "li", "td", "blockquote")))
-        if name not in VOID:
-            words = " ".join(a or b or c for a, b, c in HINT.findall(m[6])) if "=" in m[6] else ""
-            found = frozenset(OF_WORD[w] for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", words).lower()) if w in OF_WORD)
-            stack.append((name, found))
-    if at < len(html):
-        held.append((html[at:], anchors > 0))
+        else:
+            flush()
+            anchors = False
+            if kind == "end":
+                stack.close((name,))
+                continue
+            if name in CLOSES:
+                stack.close(CLOSES[name], HOLDS_ITEM)
+            elif name in BLOCKS:
+                stack.close(("p",), HOLDS_TEXT)
+            if name not in VOID:
+                words = " ".join(a or b or c for a, b, c in HINT.findall(attributes)) if "=" in attributes else ""
+                found = frozenset(OF_WORD[w] for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", words).lower()) if w in OF_WORD)
+                stack.push(name, found)
     flush()
     return out
 
@@ -125,8 +228,7 @@ def features(page: list[Block]) -> np.ndarray:
     for i, b in enumerate(page):
         row = x[i]
         for t in b.tags:
-            if (k := PLACE.get(f"<{t}>")) is not None:
-                row[k] = 1
+            row[PLACE[f"<{t}>"]] = 1
         for h in b.hints:
             row[PLACE[h]] = 1
         n, words = len(b.text), b.text.count(" ") + 1
@@ -334,7 +436,11 @@ def model() -> tuple[np.ndarray, np.ndarray]:
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page from its whole html; a null html counts as empty and has an empty text."""
+    """(page_id, url, text, n_chars) of every page from its whole html.
+
+    A null html counts as empty and has an empty text; equal rows give equal rows; an empty table
+    gives none; columns of pages by the names of results are not read.
+    """
     weights, trans = model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
