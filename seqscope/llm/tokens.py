@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_size, text_of
-from .pretoken import BLANK, SPECIAL, VOCABULARY, WHITE, path, pieces, table
+from .pretoken import BLANK, LETTER, QUOTE, SPECIAL, SYMBOL, VOCABULARY, WHITE, path, pieces, table
 
 LIMIT = 512
-#: Code points of a chunk.
-CHUNK = 4096
+#: Code points of a chunk, and those before it that tell in which state it is entered, mostly.
+CHUNK, WARM_UP = 4096, 64
 #: Transitions and pre-tokens' counts that a worker keeps; it starts anew beyond.
 STEPS, WORDS = 800_000, 400_000
 
@@ -109,92 +108,211 @@ class Transducer:
         if after not in self._number:
             self._number[after] = len(self._states)
             self._states.append(after)
+        if not -32 <= emitted < 32:
+            raise OverflowError("a byte changes the number of tokens by more than a transition can carry")
         self._steps[key] = self._number[after] << 6 | emitted + 32
         return self._steps[key]
 
-    def count_word(self, word: str) -> int:
-        state, total, steps = 0, 0, self._steps
-        for byte in word.encode("utf-8"):
+    def feed(self, state: int, text: str) -> tuple[int, int]:
+        """The state after the bytes of a text, and the change of the number of tokens."""
+        total, steps = 0, self._steps
+        for byte in text.encode("utf-8"):
             found = steps.get(state << 8 | byte) or self.step(state, byte)
             state = found >> 6
             total += (found & 63) - 32
-        return total
+        return state, total
 
-    def count(self, texts: list[str]) -> list[int]:
-        """Tokens of each text."""
+    def renew(self) -> None:
+        """Forgets transitions and pre-tokens if there are too many; states from before are void then."""
         if len(self._steps) > STEPS:
             self._reset()
         if len(self._words) > WORDS:
             self._words.clear()
+
+    def count(self, texts: list[str]) -> list[int]:
+        """Tokens of each text."""
         words, counts = pieces(texts)
         known = self._words
         for word in set(words):
             if word not in known:
-                known[word] = self.count_word(word)
+                known[word] = self.feed(0, word)[1]
         each = np.zeros(len(words) + 1, np.int64)
         np.cumsum(np.fromiter(map(known.__getitem__, words), np.int64, len(words)), out=each[1:])
         ends = np.cumsum([0, *counts])
         return np.diff(each[ends]).tolist()
 
 
-@dataclass(frozen=True)
-class ChunkMap:
-    """What a chunk does to any state in which it is entered.
+#: A state of the whole machine: what goes on (a class of code points, or one of the modes below), the
+#: transducer's state, and a code point that is held back.
+State = tuple[int, int, str]
+#: Modes beside the classes LETTER, NUMBER and SYMBOL of a run that goes on: nothing yet, white space (the last
+#: of which is held back), a quote that begins a pre-token, and such a quote with one letter held back.
+FRESH, SPACES, QUOTED, HALF = 10, 11, 12, 13
+START: State = (FRESH, 0, "")
+#: The ends of contractions.
+SHORT, LONG = frozenset("sdmt"), {"r": "e", "v": "e", "l": "l"}
+
+
+def advance(machine: Transducer, state: State, char: str, kind: int) -> tuple[State, int]:
+    """One transition of the whole machine (pre-tokenizer and transducer): the next state and the number of tokens emitted.
 
-    Where white space follows other signs the pre-tokenizer's state is the same whatever came before.
-    So a chunk's map is: run over `head` (up to its first such place) from the state in which it is
-    entered, add `inner`, and leave in the state that `tail` (from its last such place on) gives. A
-    chunk without such a place is all head, and its tail is None.
+    Where only the next code points tell whether one belongs to the pre-token, it is held back, so
+    the machine reads each code point once.
     """
+    mode, inner, held = state
+    white = kind in (BLANK, WHITE)
+    sign = kind in (SYMBOL, QUOTE)
+    before = 0
+    if mode == HALF:
+        if LONG[held] == char:
+            return START, machine.feed(inner, held + char)[1]
+        mode, (inner, before) = LETTER, machine.feed(0, held)
+    elif mode == QUOTED:
+        if char in SHORT:
+            return START, machine.feed(inner, char)[1]
+        if char in LONG:
+            return (HALF, inner, char), 0
+        mode = SYMBOL
+    elif mode == SPACES:
+        if white:
+            inner, n = machine.feed(inner, held)
+            return (SPACES, inner, char), n
+        inner, before = machine.feed(0, held)
+        mode = kind if held == " " and not sign else SYMBOL if held == " " else FRESH
+        if mode != FRESH:
+            inner, n = machine.feed(inner, char)
+            return (mode, inner, ""), before + n
+    if white:
+        return (SPACES, 0, char), before
+    if mode == kind or (mode == SYMBOL and sign):
+        inner, n = machine.feed(inner, char)
+        return (mode, inner, ""), before + n
+    inner, n = machine.feed(0, char)
+    return (QUOTED if kind == QUOTE else kind, inner, ""), before + n
+
+
+def final(machine: Transducer, state: State) -> int:
+    """The number of tokens that the end of the text adds: those of what is held back."""
+    mode, inner, held = state
+    return machine.feed(inner if mode == SPACES else 0, held)[1]
 
-    head: str
-    inner: int = 0
-    tail: str | None = None
 
+class ChunkMap:
+    """The state map of a chunk: for each state in which it is entered, the state in which it is left and the tokens emitted.
+
+    Where white space follows another code point the machine's state doesn't depend on what came before. So the
+    map is constant but for the chunk's head, up to the first such place; from there on the
+    tokens of whole pre-tokens are summed up, and only what follows the last such place is walked to
+    the state at the end. A chunk without such a place is walked once from the state `expected`, and from any other
+    state only until the walk meets that path. Entries are tabulated as they are asked for.
+    """
 
-def chunk_maps(chunks: list[str], machine: Transducer) -> list[ChunkMap]:
-    """The maps of chunks, each from the chunk alone."""
-    kind = table()[np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)]
+    def __init__(self, machine: Transducer, head: str, expected: State, rest: tuple[State, int] | None) -> None:
+        self._machine, self._head, self.expected, self._rest = machine, head, expected, rest
+        self._kinds = table()[np.frombuffer(head.encode("utf-32-le"), np.uint32)].tolist()
+        self._path: list[tuple[State, int]] = []
+        self._known: dict[State, tuple[State, int]] = {}
+
+    def at(self, entry: State) -> tuple[State, int]:
+        if entry not in self._known:
+            self._known[entry] = self._walk(entry)
+        return self._known[entry]
+
+    def _walk(self, entry: State) -> tuple[State, int]:
+        state, total = entry, 0
+        keep = self._rest is None and not self._path
+        path: list[tuple[State, int]] = []
+        for i, (char, kind) in enumerate(zip(self._head, self._kinds, strict=True)):
+            state, n = advance(self._machine, state, char, kind)
+            total += n
+            if keep:
+                path.append((state, total))
+            elif self._path and self._path[i][0] == state:  # from here on as on the known path
+                return self._path[-1][0], total + self._path[-1][1] - self._path[i][1]
+        if keep:
+            self._path = path
+        return (self._rest[0], total + self._rest[1]) if self._rest else (state, total)
+
+
+class Composed(ChunkMap):
+    """The map of two adjacent chunks, or of two such maps: composition is associative."""
+
+    def __init__(self, first: ChunkMap, second: ChunkMap) -> None:
+        self._first, self._second, self.expected = first, second, first.expected
+        self._known = {}
+        self.at(self.expected)
+
+    def _walk(self, entry: State) -> tuple[State, int]:
+        middle, n = self._first.at(entry)
+        end, m = self._second.at(middle)
+        return end, n + m
+
+
+def chunk_maps(chunks: list[tuple[str, str | None, bool]], machine: Transducer) -> list[ChunkMap]:
+    """The maps of chunks (text, what is before it in its text, None for the first one, and whether it is the last one).
+
+    The state in which a chunk is expected to be entered is found by a walk over the end of what is before
+    it; a wrong one costs a second walk and not the result. The last chunk's map counts to the end of the text and has no state.
+    """
+    kind = table()[np.frombuffer("".join(c for c, _, _ in chunks).encode("utf-32-le"), np.uint32)]
     white = (kind == BLANK) | (kind == WHITE)
     at = np.flatnonzero(white[1:] & ~white[:-1]) + 1
-    ends = np.cumsum([len(c) for c in chunks])
-    starts = ends - [len(c) for c in chunks]
+    ends = np.cumsum([len(c) for c, _, _ in chunks])
+    starts = ends - [len(c) for c, _, _ in chunks]
     low, high = np.searchsorted(at, starts, "right"), np.searchsorted(at, ends, "left")
-    spans = [(int(at[a] - s), int(at[b - 1] - s)) if a < b else None for s, a, b in zip(starts, low, high, strict=True)]
-    inner = [c[s[0] : s[1]] if s else "" for c, s in zip(chunks, spans, strict=True)]
-    counts = machine.count(inner)
-    return [ChunkMap(c[: s[0]], n, c[s[1] :]) if s else ChunkMap(c) for c, s, n in zip(chunks, spans, counts, strict=True)]
-
-
-def compose(pairs: list[tuple[ChunkMap, ChunkMap]], machine: Transducer) -> list[ChunkMap]:
-    """The map of each pair of adjacent chunks: composition is associative."""
-    border = [a.tail + b.head if a.tail is not None and b.tail is not None else "" for a, b in pairs]
+    cuts = []  # the end of the head, and the start of the tail, of each chunk
+    for (text, before, last), s, a, b in zip(chunks, starts.tolist(), low, high, strict=True):
+        first, final_cut = (int(at[a] - s), int(at[b - 1] - s)) if a < b else (len(text), len(text))
+        cuts.append((0 if before is None else first, len(text) if last else final_cut if a < b else 0 if before is None else len(text)))
+    inner = machine.count([text[a:b] if a < b else "" for (text, _, _), (a, b) in zip(chunks, cuts, strict=True)])
     out = []
-    for (a, b), n in zip(pairs, machine.count(border), strict=True):
-        if a.tail is None:
-            out.append(ChunkMap(a.head + b.head, b.inner, b.tail))
-        elif b.tail is None:
-            out.append(ChunkMap(a.head, a.inner, a.tail + b.head))
-        else:
-            out.append(ChunkMap(a.head, a.inner + n + b.inner, b.tail))
+    for (text, before, last), (a, b), n in zip(chunks, cuts, inner, strict=True):
+        if a >= len(text) and before is not None:
+            out.append(ChunkMap(machine, text, expected(machine, before), None))
+            continue
+        state, more = walk(machine, START, text[b:]) if not last else (START, 0)
+        # The head is left by a step into white space, which ends whatever goes on; it emits no token itself.
+        out.append(ChunkMap(machine, text[: a + 1] if before is not None else "", expected(machine, before), (state, n + more)))
     return out
 
 
+def walk(machine: Transducer, state: State, text: str) -> tuple[State, int]:
+    total = 0
+    for char, kind in zip(text, table()[np.frombuffer(text.encode("utf-32-le"), np.uint32)].tolist(), strict=True):
+        state, n = advance(machine, state, char, kind)
+        total += n
+    return state, total
+
+
+def expected(machine: Transducer, before: str | None) -> State:
+    """The state after a text by its last code points, from the last place among them at which states don't depend on what came before."""
+    if before is None:
+        return START
+    end = before[-WARM_UP:]
+    kinds = table()[np.frombuffer(end.encode("utf-32-le"), np.uint32)]
+    white = (kinds == BLANK) | (kinds == WHITE)
+    places = np.flatnonzero(white[1:] & ~white[:-1]) + 1
+    return walk(machine, START, end[int(places[-1]) :] if len(places) else end)[0]
+
+
 def counts_by_chunks(texts: list[str], machine: Transducer, chunk: int = CHUNK) -> list[int]:
     """Tokens of each text from its chunks' maps, composed pairwise in rounds (the scan's up-sweep).
 
-    A round composes all pairs of all texts at once, so the number of rounds is the logarithm of the
-    number of chunks of the longest text. Only the whole text's map, its scan's last entry, is needed.
+    A round composes all pairs of all texts, so the number of rounds is the logarithm of the number
+    of chunks of the longest text. Only the whole text's map, its scan's last entry, is needed.
     """
-    cuts = [[text[i : i + chunk] for i in range(0, len(text), chunk)] or [""] for text in texts]
-    found = iter(chunk_maps([c for own in cuts for c in own], machine))
+    machine.renew()
+    cuts = [list(range(0, len(text), chunk)) or [0] for text in texts]
+    flat = [(text[i : i + chunk], text[max(0, i - WARM_UP) : i] if i else None, i == own[-1]) for text, own in zip(texts, cuts, strict=True) for i in own]
+    found = iter(chunk_maps(flat, machine))
     maps = [[next(found) for _ in own] for own in cuts]
     while any(len(own) > 1 for own in maps):
-        pairs = [(own[i], own[i + 1]) for own in maps for i in range(0, len(own) - 1, 2)]
-        done = iter(compose(pairs, machine))
-        maps = [[*(next(done) for _ in range(len(own) // 2)), *own[len(own) // 2 * 2 :]] for own in maps]
-    ends = machine.count([x for (m,) in maps for x in (m.head, m.tail or "")])
-    return [m.inner + a + b for (m,), a, b in zip(maps, ends[::2], ends[1::2], strict=True)]
+        maps = [[*(Composed(own[i], own[i + 1]) for i in range(0, len(own) - 1, 2)), *own[len(own) // 2 * 2 :]] for own in maps]
+    out = []
+    for (whole,) in maps:
+        state, n = whole.at(START)
+        out.append(n + final(machine, state))
+    return out
 
 
 _machines: dict[str, Transducer] = {}
