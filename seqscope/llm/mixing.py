@@ -16,17 +16,49 @@ from .common import n_words, save
 BLOCK_WORDS = 128
 SHARD_SLOTS = 1024
 SEED = 20260811
-#: Rows that one window group of the offsets has, about.
-GROUP_ROWS = 100_000
-#: The sixteen primes that follow one million, as multipliers of the permutations.
-PRIMES = [1000003, 1000033, 1000037, 1000039, 1000081, 1000099, 1000117, 1000121, 1000133, 1000151, 1000159, 1000171, 1000183, 1000187, 1000193, 1000199]
-
+#: Rows that one window group of the offsets has, about, and the fewest groups of a source.
+GROUP_ROWS, GROUPS = 10_000, 256
+#: Rounds of the permutations, and steps after which a walk back into the range has ended (see permuted).
+ROUNDS, WALK = 6, 64
 
 
 def idiv(a: str, b: str) -> Column:
     return F.expr(f"({a}) div ({b})")
 
 
+def sides(n: Column) -> tuple[Column, Column]:
+    """Sides of a rectangle that holds n (1 or more) cells, with less than one row to spare."""
+    a = F.ceil(F.sqrt(n.cast("double")))
+    return a, F.ceil(n / a)
+
+
+def rounds(x: Column, a: Column, b: Column, key: Column, inverse: bool = False) -> Column:
+    """A keyed Feistel network on the numbers below a * b: x = left + a * right, where each half in turn is moved by a hash of the other."""
+    left, right = F.pmod(x, a), F.floor(x / a)
+    for k in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
+        n, own, other = (a, left, right) if k % 2 == 0 else (b, right, left)
+        by = F.pmod(F.xxhash64(other, key, F.lit(k)), n)
+        moved = F.pmod(own - by if inverse else own + by, n)
+        left, right = (moved, right) if k % 2 == 0 else (left, moved)
+    return left + a * right
+
+
+def permuted(x: Column, n: Column, key: Column, inverse: bool = False) -> Column:
+    """The place of x in a pseudorandom permutation of the numbers below n (1 or more), or its inverse.
+
+    The network permutes a rectangle; a number that it moves out of the range is moved on until it
+    is inside again (cycle walking), so the numbers below n are permuted among themselves. Fewer than a row's
+    cells are out of range: with up to WALK of them the walk ends for sure, with more it is longer
+    with a chance below 1 in WALK ** WALK, and is an error then.
+    """
+    a, b = sides(n)
+    first = rounds(x, a, b, key, inverse)
+    on = lambda v, _: F.when(v < n, v).otherwise(rounds(v, a, b, key, inverse))
+    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, on)
+    checked = F.transform(F.array(walked), lambda v: F.when(v < n, v).otherwise(F.raise_error(F.lit("walk of a permutation is too long")).cast("long")))[0]
+    return F.when(first < n, first).otherwise(checked)
+
+
 def targets(sizes: DataFrame, weights: int = 3, most: int = 3) -> DataFrame:
     """Of rows (source, size): (source, s, source_size, target), s numbering the sources.
 
@@ -81,12 +113,12 @@ def draw(docs: DataFrame, block_words: int, shard_slots: int, seed: int) -> tupl
     spark, L = docs.sparkSession, block_words
     base = save(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("content"), n_words(F.col("text")).alias("size")))
     n_rows = base.count()
-    groups = max(1, -(-n_rows // GROUP_ROWS)) * 8
+    groups = max(GROUPS, -(-n_rows // GROUP_ROWS))
     plan = targets(base)
-    a = F.filter(F.array(*[F.lit(p).cast("long") for p in PRIMES]), lambda p: (F.pmod(F.col("nb"), p) != 0) | (F.col("nb") == 0))
     plan = plan.withColumn("words", F.round("target").cast("long")).withColumn("nb", idiv(f"source_size + {L - 1}", str(L)))
-    plan = plan.withColumn("a", a[F.pmod(F.xxhash64("s", F.lit(seed)), F.size(a)).cast("int")])
-    plan = plan.withColumn("short_at", F.when(F.col("nb") > 0, F.pmod(F.xxhash64("s", F.lit(seed + 1)), F.col("nb"))))
+    plan = plan.withColumn("key", F.xxhash64("s", F.lit(seed)))
+    # The turn of the last block, the one that lacks some words.
+    plan = plan.withColumn("short_at", F.when(F.col("nb") > 0, permuted(F.greatest(F.col("nb"), F.lit(1)) - 1, F.greatest(F.col("nb"), F.lit(1)), F.col("key"), inverse=True)))
     plan = plan.withColumn("short", L * F.col("nb") - F.col("source_size"))  # what the last block lacks
     plan = plan.withColumn("passes", F.expr("if(source_size > 0, words div source_size, 0)")).withColumn("rest", F.col("words") - F.col("passes") * F.col("source_size"))
     last = F.when(F.col("rest") <= L * F.col("short_at"), idiv(f"rest + {L - 1}", str(L))).otherwise(idiv(f"rest + short + {L - 1}", str(L)))
@@ -115,8 +147,8 @@ def draw(docs: DataFrame, block_words: int, shard_slots: int, seed: int) -> tupl
     spare = spare.select("shard", (F.col("over_at") + F.col("k") - F.col("slots")).alias("ticket"))
     need = got.select("s", "got", F.col("under_at").alias("lo"), (F.col("under_at") + F.col("under")).alias("hi"))
     moved = locate(spare, need, n_over, max(1, n_sources)).select("s", "shard", (F.col("got") + F.col("ticket") - F.col("lo")).alias("k"))
-    slots = kept.unionByName(moved).join(plan.select("s", "nb", "a", "short_at", "short", "passes", "rest"), "s")
-    slots = slots.withColumn("turn", idiv("k", "nb")).withColumn("j", F.pmod("k", F.col("nb"))).withColumn("block", F.pmod(F.col("nb") - 1 + F.col("a") * (F.col("j") - F.col("short_at")), F.col("nb")))
+    slots = kept.unionByName(moved).join(plan.select("s", "nb", "key", "short_at", "short", "passes", "rest"), "s")
+    slots = slots.withColumn("turn", idiv("k", "nb")).withColumn("j", F.pmod("k", F.col("nb"))).withColumn("block", permuted(F.col("j"), F.col("nb"), F.col("key")))
     before = L * F.col("j") - F.when(F.col("j") > F.col("short_at"), F.col("short")).otherwise(0)
     slots = slots.withColumn("take", F.when(idiv("k", "nb") < F.col("passes"), F.lit(L)).otherwise(F.greatest(F.lit(0), F.least(F.lit(L), F.col("rest") - before))))
     pieces = docs_at.where("size > 0").withColumn("block", F.explode(F.sequence(idiv("at", str(L)), idiv("at + size - 1", str(L)))))
