@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import re
+import time
 import zipfile
 import zlib
 from collections import Counter, defaultdict
@@ -193,6 +194,21 @@ def test_chunks_of_any_size_count_alike():
         assert tokens.counts_by_chunks(texts, m, size) == want
 
 
+@pytest.mark.parametrize("text", ["a" * 1500, "ab" * 400 + "'s x  y", "日本語" * 300, "=" * 900, "x" + " " * 700 + "'ll", "0123456789" * 120])
+def test_state_maps(text):
+    """A chunk's map gives for any state of entry what walking the chunk gives; maps compose."""
+    t, m = library(), tokens.machine_of()
+    assert tokens.counts_by_chunks([text], m, 64) == [len(t.encode(text, add_special_tokens=False).ids)]
+    cuts = [text[i : i + 50] for i in range(0, len(text), 50)]
+    maps = tokens.chunk_maps([(c, text[max(0, 50 * i - 64) : 50 * i] if i else None, False) for i, c in enumerate(cuts)], m)
+    entries = [tokens.walk(m, tokens.START, x)[0] for x in ("", "a", "'", "don't", "it'r", " ", "x ", "\n\n", "12", "日", "--", "abab")]
+    for i in range(1, len(cuts) - 1):
+        both = tokens.Composed(maps[i], maps[i + 1])
+        for entry in entries:
+            assert maps[i].at(entry) == tokens.walk(m, entry, cuts[i])
+            assert both.at(entry) == tokens.walk(m, entry, cuts[i] + cuts[i + 1])
+
+
 def test_packing(docs, rows, empty):
     t, capacity = library(), 256
     got = packing.pack(docs, capacity).collect()
@@ -330,6 +346,20 @@ def test_html(spark, sf_dir):
     assert html_text.extract(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("piece", ["<a ", '<a x="> ', "<a x='\"' ", "<svg>a", "<div><p>a", "<x>a</y>", "<template>b", "<div><x><hr>a", "</script", '<a x=">" ', "<li><b>c", "&amp;<!-"])
+def test_odd_pages_take_linear_time(piece):
+    """A megabyte of tags without an end, of open elements or of quotes is parsed in seconds."""
+    start = time.process_time()
+    page = html_text.blocks(piece * (300_000 // len(piece)))
+    html_text.features(page)
+    assert time.process_time() - start < 30
+
+
+def test_attributes_hold_signs():
+    assert [b.text for b in html_text.blocks("<p title=\"a > b\" x='>'>One</p><p t=\"it's\">Two</p><p a=b\"c>Three")] == ["One", "Two", "Three"]
+    assert [b.text for b in html_text.blocks('<p>One</p><p title="open>Two</p><p>Three</p>')] == ["One", "Two", "Three"]
+
+
 @pytest.mark.parametrize("tag", ["<svg viewBox='0 0 1 1'/>", '<svg class="a>b" />', "<svg>", "<select><option>", "<iframe src=x>", "<noscript>", "<template>"])
 def test_text_after_elements_without_end_tag(tag):
     assert "The article." in [b.text for b in html_text.blocks(f"<p>One.</p>{tag}<article><p>The article.</p></article>")]
@@ -587,6 +617,46 @@ def test_mixing(spark, docs, rows, empty):
     assert mixing.apply_mix(empty).count() == 0
 
 
+def test_permutation(spark):
+    """A bijection for any length, inverted by its inverse, whose neighbours land anywhere."""
+    for n in (1, 2, 3, 5, 17, 255, 333, 10_000):
+        x, size = F.col("id"), F.lit(n).cast("long")
+        rows = spark.range(n).select("id", mixing.permuted(x, size, F.lit(7)).alias("y")).withColumn("back", mixing.permuted(F.col("y"), size, F.lit(7), inverse=True)).toPandas().sort_values("id")
+        assert sorted(rows["y"]) == list(range(n))
+        assert (rows["back"] == rows["id"]).all()
+    step = np.diff(rows["y"]) % n
+    assert np.bincount(step, minlength=n).max() < 20
+    other = spark.range(n).select(mixing.permuted(x, size, F.lit(8)).alias("y")).toPandas()["y"]
+    assert (other == rows["y"].to_numpy()).mean() < 0.01
+
+
+def test_taken_is_that_of_a_brute_force_mix(spark, docs):
+    """Each document's share of the words, from the permuted blocks of its source, one word at a time."""
+    got, _ = mixing.mix(docs, block_words=16, shard_slots=8)
+    rows = [r.asDict() for r in got.collect()]
+    sources = sorted({r["source"] for r in rows}, key=lambda s: (s is None, (s or "").encode()))
+    groups = mixing.GROUPS
+    place = docs.sparkSession.createDataFrame([(i, r["doc_id"], r["content"]) for i, r in enumerate(rows)], "i long, doc_id long, content long")
+    salt = {r.i: r.salt for r in place.select("i", F.pmod(F.xxhash64("doc_id", "content"), F.lit(groups)).alias("salt")).collect()}
+    for s, name in enumerate(sources):
+        own = sorted((i for i, r in enumerate(rows) if r["source"] == name), key=lambda i: (salt[i], rows[i]["doc_id"] is not None, rows[i]["doc_id"] or 0, rows[i]["content"], rows[i]["size"]))
+        stream = [i for i in own for _ in range(rows[i]["size"])]
+        n, want = round(rows[own[0]]["target"]), Counter()
+        nb = -(-len(stream) // 16)
+        if not nb:
+            continue
+        key = spark.range(1).select(F.xxhash64(F.lit(s).cast("long"), F.lit(mixing.SEED)).alias("k")).first().k
+        order = [r.y for r in spark.range(nb).select("id", mixing.permuted(F.col("id"), F.lit(nb).cast("long"), F.lit(key)).alias("y")).orderBy("id").collect()]
+        taken = [i for b in order for i in stream[16 * b : 16 * b + 16]]
+        want.update(Counter(stream[:0]))
+        while n > 0:
+            want.update(taken[:n])
+            n -= len(taken)
+        # Rows that are equal in all share what they are taken.
+        total = lambda c, own=own: Counter({(rows[i]["doc_id"], rows[i]["content"]): 0 for i in own}) + Counter({k: sum(v for j, v in c.items() if (rows[j]["doc_id"], rows[j]["content"]) == k) for k in {(rows[i]["doc_id"], rows[i]["content"]) for i in own}})
+        assert total(want) == total({i: rows[i]["taken"] for i in own})
+
+
 def test_mixed_texts_are_the_drawn_pieces(spark):
     """Word for word and as often: long documents, of which a part of the blocks is drawn, aren't cut to their first words."""
     sizes = [(1000, "a"), (700, "a"), (5, "a"), (40, "b"), (900, "c"), (3000, "c"), (130, None)]
