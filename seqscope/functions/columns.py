@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,28 +18,31 @@ def finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
 
 
-def _shifted(logits: Column) -> Column:
-    top = F.array_max(logits)
-    return F.transform(logits, lambda x: x.cast("double") - top.cast("double"))
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once: a column that a lambda names is computed for each element."""
+    return F.transform(F.array(value), use)[0]
 
 
-def _log_norm(shifted: Column) -> Column:
-    return F.log(F.aggregate(shifted, F.lit(0.0), lambda s, x: s + F.exp(x)))
+def _softmax(logits: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """use(shifted logits, log of their exponentials' sum); linear in the number of logits."""
+    doubles = logits.cast("array<double>")
+    norm = lambda sh: F.log(F.aggregate(sh, F.lit(0.0), lambda s, x: s + F.exp(x)))
+    shifted = lambda top: F.transform(doubles, lambda x: x - top)
+    return bound(F.array_max(doubles), lambda top: bound(shifted(top), lambda sh: use(sh, norm(sh))))
 
 
 def entropy(logits: Column) -> Column:
     """Entropy of the softmax of logits; 0 where it isn't finite."""
-    sh = _shifted(logits)
-    lz = _log_norm(sh)
-    h = -F.aggregate(sh, F.lit(0.0), lambda s, x: s + F.exp(x - lz) * (x - lz))
-    return F.when(finite(h), h).otherwise(F.lit(0.0))
+    # With Z the sum of exponentials: log Z less the mean of the shifted logits under the softmax.
+    mean = lambda sh, lz: F.aggregate(sh, F.lit(0.0), lambda s, x: s + F.exp(x) * x) / F.exp(lz)
+    h = _softmax(logits, lambda sh, lz: bound(lz, lambda z: z - mean(sh, z)))
+    return bound(h, lambda v: F.when(finite(v), v).otherwise(F.lit(0.0)))
 
 
 def chosen_logprob(logits: Column, token: Column) -> Column:
     """Log probability of the token (0-based) under the softmax of logits; -1e9 where it isn't finite."""
-    sh = _shifted(logits)
-    lp = F.get(sh, token) - _log_norm(sh)
-    return F.when(finite(lp), lp).otherwise(F.lit(NAN_LOGPROB))
+    lp = _softmax(logits, lambda sh, lz: F.get(sh, token) - lz)
+    return bound(lp, lambda v: F.when(finite(v), v).otherwise(F.lit(NAN_LOGPROB)))
 
 
 def clipped(p: Column, clip: float) -> Column:
@@ -93,12 +96,23 @@ def bucket(pos: Column, buckets: Sequence[tuple[int, int | None]] = BUCKETS) ->
 
 
 def mcnemar(corrections: Column, regressions: Column) -> Column:
-    """Exact two-sided binomial p of discordant pairs; 1 without any (terms underflow beyond 1,000 pairs)."""
-    n, k = (corrections + regressions).cast("double"), F.least(corrections, regressions).cast("int")
-    first = F.pow(F.lit(2.0), -n)
-    step = lambda s, i: F.struct((s["t"] * (n - i + 1) / i).alias("t"), (s["sum"] + s["t"] * (n - i + 1) / i).alias("sum"))
-    total = F.aggregate(F.when(k > 0, F.sequence(F.lit(1), k)).otherwise(F.array().cast("array<int>")), F.struct(first.alias("t"), first.alias("sum")), step)["sum"]
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * total))
+    """Exact two-sided binomial p of discordant pairs, for any number of them; 1 without any.
+
+    Terms of the tail grow up to the last one, C(n, k) / 2 ** n. Its logarithm is a sum over the terms, and
+    the tail is kept as a multiple of the term reached, so nothing underflows.
+    """
+    n, k = (corrections + regressions).cast("double"), F.least(corrections, regressions).cast("long")
+
+    def step(state: Column, i: Column) -> Column:
+        ratio = (n - i + 1) / i
+        return F.struct((state["log"] + F.log(ratio / 2)).alias("log"), (F.lit(1.0) + state["tail"] / ratio).alias("tail"))
+
+    def p(state: Column) -> Column:
+        return F.least(F.lit(1.0), 2 * F.exp(state["log"] + F.log(state["tail"]) - (n - k) * math.log(2)))
+
+    terms = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<long>"))
+    folded = F.aggregate(terms, F.struct(F.lit(0.0).alias("log"), F.lit(1.0).alias("tail")), step)
+    return F.when(n == 0, F.lit(1.0)).otherwise(bound(folded, p))
 
 
 def thresholds(n: int = 80, low: float = 1.01, high: float = 1e8) -> list[float]:
@@ -113,17 +127,31 @@ def recovery(controlled: Column, plain: Column, full: Column) -> Column:
 
 
 def repetition_penalty(logits: Column, seen: Column, penalty: float) -> Column:
-    """Logits of tokens that were seen, divided by the penalty if positive, else multiplied; once a token."""
-    p = F.lit(penalty)
-    return F.transform(logits, lambda x, i: F.when(F.array_contains(seen, i), F.when(x < 0, x * p).otherwise(x / p)).otherwise(x))
+    """Logits of tokens that were seen, divided by the penalty if positive, else multiplied; once a token.
+
+    The logits between seen tokens are taken as slices, so each is looked at once.
+    """
+    p, q = F.lit(penalty), logits.cast("array<double>")
+
+    def joined(ids: Column) -> Column:
+        def part(i: Column, at: Column) -> Column:
+            before = F.coalesce(F.get(ids, at - 1), F.lit(-1))
+            x = F.get(q, i)
+            return F.concat(F.slice(q, before + 2, i - before - 1), F.array(F.when(x < 0, x * p).otherwise(x / p)))
+
+        last = F.when(F.size(ids) > 0, F.element_at(ids, -1)).otherwise(F.lit(-1))
+        return F.concat(F.flatten(F.transform(ids, part)), F.slice(q, last + 2, F.size(q)))
+
+    inside = F.array_sort(F.array_distinct(F.filter(seen.cast("array<int>"), lambda i: (i >= 0) & (i < F.size(q)))))
+    return bound(inside, joined)
 
 
 def ngram_mask(logits: Column, tokens: Column, ngram: Column) -> Column:
     """Minus infinity for the token that would complete the n-gram after tokens (a 1-gram always)."""
-    k = F.size(ngram) - 1
-    tail = F.when(k == 0, F.lit(True)).otherwise(F.when(F.size(tokens) >= k, F.slice(tokens, -k, k) == F.slice(ngram, F.lit(1), k)).otherwise(F.lit(False)))
-    last = F.element_at(ngram, -1)
-    return F.transform(logits, lambda x, i: F.when(tail & (i == last), F.lit(float("-inf"))).otherwise(x))
+    q, k, last = logits.cast("array<double>"), F.size(ngram) - 1, F.element_at(ngram, -1).cast("int")
+    tail = F.when(k == 0, F.lit(True)).when(F.size(tokens) >= k, F.slice(tokens, -k, k) == F.slice(ngram, F.lit(1), k)).otherwise(F.lit(False))
+    hit = tail & (last >= 0) & (last < F.size(q))
+    return F.when(hit, F.concat(F.slice(q, F.lit(1), last), F.array(F.lit(float("-inf"))), F.slice(q, last + 2, F.size(q)))).otherwise(q)
 
 
 def greedy(logits: Column) -> Column:
@@ -151,7 +179,7 @@ def item_seed(seed: int, item: Column) -> Column:
     return F.conv(F.concat(top.cast("string"), F.substring(h, 2, 15)), 16, 10).cast("long")
 
 
-#: A number that isn't part of a word or a longer number, with grouped thousands or not.
+#: Fixed value: a number that isn't part of a word or a longer number, with grouped thousands or not.
 NUMBER = r"(?U)(?<![\w.])([-+]?(?:(?:\d{1,3}(?:[ ,]\d{3})+)|\d+)(?:\.\d+)?)(?!\w)"
 
 
@@ -190,6 +218,9 @@ def model_answer(text: Column, marker: str = "####") -> Column:
     return F.coalesce(marked, _last(numbers(text)))
 
 
+# The texts of the two prompts.
+
+
 def gsm_prompt(question: Column) -> Column:
     return F.concat(F.lit("Solve the following grade-school math problem step by step. Finish with a line in the form #### <answer>.\n\nQuestion: "), F.trim(question), F.lit("\n\nSolution:"))
 
