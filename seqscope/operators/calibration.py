@@ -13,7 +13,7 @@ from ..functions import columns as C
 from .detection import cusum
 
 #: Score classes of one unit; ranks are sums over classes and ranks within one.
-CLASSES = 200
+CLASSES = 2000
 
 
 def healthy(runs: DataFrame, correct: str = "correct", extractable: str | None = "extractable", truncated: str | None = "truncated") -> DataFrame:
@@ -37,35 +37,52 @@ def reference_summary(windows: DataFrame, buckets: Sequence[tuple[int, int | Non
     return rows.groupBy("bucket").agg(F.count("*").alias("windows"), F.countDistinct("run_id").alias("trajectories"))
 
 
-def _tail(queries: DataFrame, reference: DataFrame, by: str) -> DataFrame:
-    """queries with ge (reference scores of their `by` that aren't below theirs) and n (all of it).
+def _tail(rows: DataFrame, by: str) -> DataFrame:
+    """rows (score, __ref: 1 for a reference score, else 0) with ge (reference scores of their `by` that
+    aren't below theirs) and n (all of it).
 
     A group of scores is sorted in classes: those above are summed up from class counts, those within are
     counted by a RANGE frame. So a bucket with most rows is many tasks' work.
     """
     cls = F.floor(F.least(F.greatest(F.col("score"), F.lit(-1e6)), F.lit(1e6)) * CLASSES).cast("long")
-    both = reference.select(F.col(by), "score", F.lit(1).alias("__ref")).unionByName(queries.withColumn("__ref", F.lit(0)), allowMissingColumns=True).withColumn("__class", cls)
+    both = rows.withColumn("__class", cls)
     sums = both.groupBy(by, "__class").agg(F.sum("__ref").alias("__n"))
     down = Window.partitionBy(by).orderBy(F.desc("__class"))
     sums = sums.select(F.col(by).alias("__by"), F.col("__class").alias("__c"), (F.sum("__n").over(down) - F.col("__n")).alias("__above"), F.sum("__n").over(Window.partitionBy(by)).alias("n"))
     within = Window.partitionBy(by, "__class").orderBy(F.desc("score")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = both.withColumn("__in", F.sum("__ref").over(within)).where("__ref = 0")
-    joined = ranked.join(sums, (ranked[by] == sums["__by"]) & (ranked["__class"] == sums["__c"]))
-    return joined.withColumn("ge", F.col("__above") + F.col("__in")).drop("__ref", "__class", "__in", "__by", "__c", "__above")
+    joined = both.withColumn("__in", F.sum("__ref").over(within)).join(sums, (F.col(by) == sums["__by"]) & (F.col("__class") == sums["__c"]))
+    return joined.withColumn("ge", F.col("__above") + F.col("__in")).drop("__class", "__in", "__by", "__c", "__above")
 
 
-def tail_pvalues(windows: DataFrame, reference: DataFrame, buckets: Sequence[tuple[int, int | None]] = BUCKETS, clip: float = 1e-6) -> DataFrame:
+def bare_buckets(windows: DataFrame, reference: str, buckets: Sequence[tuple[int, int | None]] = BUCKETS) -> list[str]:
+    """The buckets that have windows but no reference score: at most as many names as there are buckets."""
+    rows = windows.groupBy(C.bucket(F.col("end_pos"), buckets).alias("bucket")).agg(F.count_if(F.col(reference) & C.finite(F.col("score"))).alias("n"))
+    return sorted(r["bucket"] for r in rows.where("n = 0").collect())
+
+
+def tail_pvalues(windows: DataFrame, reference: DataFrame | str, buckets: Sequence[tuple[int, int | None]] = BUCKETS, clip: float = 1e-6, bare: Sequence[str] | None = None) -> DataFrame:
     """windows with bucket, num, den and p = num / den clipped: (1 + scores not below) / (1 + all) of the bucket's
-    pool, or of all pools together where the bucket has none. A score that isn't finite counts as the largest."""
-    rows = windows.withColumn("bucket", C.bucket(F.col("end_pos"), buckets)).withColumn("__own", F.col("score"))
-    rows = rows.withColumn("score", F.when(C.finite(F.col("score")), F.col("score")).otherwise(F.lit(float("inf"))))
-    own = _tail(rows, reference, "bucket").withColumnRenamed("ge", "__ge").withColumnRenamed("n", "__n")
-    every = _tail(own.withColumn("__all", F.lit(0)), reference.withColumn("__all", F.lit(0)), "__all") if len(buckets) > 1 else own.withColumn("ge", F.col("__ge")).withColumn("n", F.col("__n"))
-    pooled = F.col("__n") == 0
-    num = 1 + F.when(pooled, F.col("ge")).otherwise(F.col("__ge"))
-    den = 1 + F.when(pooled, F.col("n")).otherwise(F.col("__n"))
-    out = every.withColumn("num", num.cast("long")).withColumn("den", den.cast("long")).withColumn("score", F.col("__own"))
-    return out.withColumn("p_value", C.clipped(F.col("num") / F.col("den"), clip)).drop("__ge", "__n", "ge", "n", "__all", "__own")
+    pool, or of all pools together where the bucket has none. A score that isn't finite counts as the largest.
+
+    reference is a table of pools (bucket, score), or the name of a boolean column of windows that marks
+    the reference. Windows whose bucket has a pool are ranked once; the rank among all pools is for
+    the others only, and isn't planned if bare (see bare_buckets) says that there are none.
+    """
+    rows = windows.withColumn("bucket", C.bucket(F.col("end_pos"), buckets)).withColumn("__own", F.col("score")).withColumn("__query", F.lit(1))
+    marked = F.coalesce(F.col(reference) & C.finite(F.col("score")), F.lit(False)).cast("int") if isinstance(reference, str) else F.lit(0)
+    rows = rows.withColumn("__ref", marked).withColumn("score", F.when(C.finite(F.col("score")), F.col("score")).otherwise(F.lit(float("inf"))))
+    if not isinstance(reference, str):
+        rows = rows.unionByName(reference.select("bucket", "score", F.lit(1).alias("__ref"), F.lit(0).alias("__query")), allowMissingColumns=True)
+    out = _tail(rows, "bucket")
+    if len(buckets) > 1 and (bare is None or bare):
+        if bare is None:
+            again, out = out.withColumn("__bare", F.col("n") == 0).drop("ge", "n"), out.where("n > 0")
+        else:
+            again, out = rows.withColumn("__bare", F.col("bucket").isin(*bare)), out.where(~F.col("bucket").isin(*bare))
+        every = _tail(again.where("__bare or __ref = 1").withColumn("__every", F.lit(0)), "__every")
+        out = out.unionByName(every.where("__bare").drop("__bare", "__every"))
+    out = out.where("__query = 1").withColumn("num", (1 + F.col("ge")).cast("long")).withColumn("den", (1 + F.col("n")).cast("long")).withColumn("score", F.col("__own"))
+    return out.withColumn("p_value", C.clipped(F.col("num") / F.col("den"), clip)).drop("__own", "__query", "__ref", "ge", "n")
 
 
 def largest_statistic(pvalues: DataFrame, detector: DetectorConfig | None = None) -> DataFrame:

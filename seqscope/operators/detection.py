@@ -58,14 +58,34 @@ def changepoints(stats: DataFrame, alarms: DataFrame, run: str = "run_id") -> Da
     return alarms.join(found, alarms[run] == found["__r"], "left").withColumn("changepoint", F.coalesce("__cp", F.lit(0))).drop("__r", "__cp")
 
 
-def rollback_positions(alarms: DataFrame, windows: DataFrame, prompt_len: int = 0, margin: int = 0) -> DataFrame:
-    """alarms (with changepoint) with token_pos and rollback_token_pos in the tokens of prompt and completion."""
-    own = windows.select(F.col("run_id").alias("__r"), F.col("window_index").alias("__w"), F.col("end_pos").alias("__end"))
-    cp = windows.select(F.col("run_id").alias("__r2"), F.col("window_index").alias("__w2"), F.col("start_pos").alias("__start"))
-    out = alarms.join(own, (F.col("run_id") == F.col("__r")) & (F.col("window_index") == F.col("__w")))
-    out = out.join(cp, (F.col("run_id") == F.col("__r2")) & (F.col("changepoint") == F.col("__w2")))
-    rollback = F.greatest(F.lit(prompt_len), F.lit(prompt_len) + F.col("__start") - margin)
-    return out.withColumn("token_pos", F.lit(prompt_len) + F.col("__end")).withColumn("rollback_token_pos", rollback).drop("__r", "__w", "__end", "__r2", "__w2", "__start")
+def alarms(stats: DataFrame, h: float, run: str = "run_id") -> DataFrame:
+    """(run_id, window_index, logE, end_pos, changepoint, changepoint_start): first_alarm and changepoints in one pass.
+
+    The last window whose statistic isn't positive is a running maximum in the order that the statistic
+    is computed in, so no window is shuffled or joined. Without such a window the changepoint is 0, at position 0.
+    """
+    past = Window.partitionBy(run).orderBy("window_index").rowsBetween(Window.unboundedPreceding, 0)
+    low = F.max(F.when(F.col("logE") <= 0, F.struct("window_index", "start_pos"))).over(past)
+    rows = stats.withColumn("__low", low).where(F.col("logE") >= h)
+    one = rows.groupBy(run).agg(F.min_by(F.struct("window_index", "logE", "end_pos", "__low"), "window_index").alias("a"))
+    zero = F.lit(0).cast("long")
+    return one.select(run, "a.window_index", "a.logE", "a.end_pos", F.coalesce("a.__low.window_index", zero).alias("changepoint"), F.coalesce("a.__low.start_pos", zero).alias("changepoint_start"))
+
+
+def rollback_positions(alarms: DataFrame, windows: DataFrame | None = None, prompt_len: int = 0, margin: int = BacktrackConfig.margin) -> DataFrame:
+    """alarms (with changepoint) with token_pos and rollback_token_pos in the tokens of prompt and completion.
+
+    windows (run_id, window_index, start_pos, end_pos) are only needed if alarms has no end_pos and changepoint_start.
+    """
+    out = alarms
+    if windows is not None:
+        own = windows.select(F.col("run_id").alias("__r"), F.col("window_index").alias("__w"), F.col("end_pos").alias("__end"))
+        cp = windows.select(F.col("run_id").alias("__r2"), F.col("window_index").alias("__w2"), F.col("start_pos").alias("__start"))
+        out = out.join(own, (F.col("run_id") == F.col("__r")) & (F.col("window_index") == F.col("__w")))
+        out = out.join(cp, (F.col("run_id") == F.col("__r2")) & (F.col("changepoint") == F.col("__w2")))
+    start, end = ("__start", "__end") if windows is not None else ("changepoint_start", "end_pos")
+    rollback = F.greatest(F.lit(prompt_len), F.lit(prompt_len) + F.col(start) - margin)
+    return out.withColumn("token_pos", F.lit(prompt_len) + F.col(end)).withColumn("rollback_token_pos", rollback).drop("__r", "__w", "__end", "__r2", "__w2", "__start", "changepoint_start")
 
 
 def stale_windows(windows: DataFrame, alarms: DataFrame, prompt_len: int = 0) -> DataFrame:
@@ -88,15 +108,22 @@ def random_trigger(rows: DataFrame, key: Sequence[str], probability: float, seed
 
 def forced_schedule(windows: DataFrame, schedule: DataFrame) -> DataFrame:
     """schedule (run_id, trigger_at, ...) with window_index: events in order of trigger_at take the first
-    window that ends at or after it, one event a window, so an event waits for the window after the one before's."""
-    first = schedule.join(windows.select(F.col("run_id").alias("__r"), F.col("window_index").alias("__w"), F.col("end_pos").alias("__end")), (F.col("run_id") == F.col("__r")) & (F.col("__end") >= F.col("trigger_at")))
-    first = first.groupBy(*schedule.columns).agg(F.min("__w").alias("__first"))
+    window that ends at or after it, one event a window, so an event waits for the window after the one before's.
+
+    The first window of each event comes from one running minimum over a run's windows and events by
+    position, so an event meets no window but those of its run, once.
+    """
+    w = windows.select("run_id", F.col("end_pos").alias("__at"), F.lit(1).alias("__kind"), F.col("window_index").cast("long").alias("__w"))
+    events = schedule.withColumns({"__at": F.col("trigger_at"), "__kind": F.lit(0), "__w": F.lit(None).cast("long")})
+    both = events.unionByName(w, allowMissingColumns=True)
+    after = Window.partitionBy("run_id").orderBy("__at", "__kind").rowsBetween(0, Window.unboundedFollowing)
+    all_of = Window.partitionBy("run_id")
+    first = both.withColumn("__first", F.min("__w").over(after)).withColumn("__last", F.max("__w").over(all_of)).where("__kind = 0 and __first is not null")
     order = Window.partitionBy("run_id").orderBy("trigger_at")
     n = F.row_number().over(order)
     at = F.max(F.col("__first") - F.col("__n")).over(order.rowsBetween(Window.unboundedPreceding, 0)) + F.col("__n")
-    last = windows.groupBy(F.col("run_id").alias("__r")).agg(F.max("window_index").alias("__last"))
-    out = first.withColumn("__n", n).withColumn("window_index", at).join(last, F.col("run_id") == F.col("__r"))
-    return out.where("window_index <= __last").drop("__first", "__n", "__r", "__last")
+    out = first.withColumn("__n", n).withColumn("window_index", at)
+    return out.where("window_index <= __last").drop("__at", "__kind", "__w", "__first", "__last", "__n")
 
 
 @dataclass

@@ -15,22 +15,30 @@ from ..functions import columns as C
 EPS = 1e-8
 
 
-def split_tokens(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(run_id, pos, token): the words of each text."""
+def split_tokens(docs: DataFrame, id: str = "doc_id", text: str = "text", prev: bool = False) -> DataFrame:
+    """(run_id, pos, token[, prev]): the words of each text; prev: the word before, <s> for the first one."""
     words = F.filter(F.split(F.col(text), r"[ \t\n\r\f]+"), lambda w: w != "")
-    return docs.select(F.col(id).alias("run_id"), F.posexplode(words).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    if not prev:
+        return docs.select(F.col(id).alias("run_id"), F.posexplode(words).alias("pos", "token")).withColumn("pos", F.col("pos").cast("long"))
+    # The words are shifted within a row, so that no run is sorted for it.
+    pairs = C.bound(words, lambda w: F.arrays_zip(F.slice(F.concat(F.array(F.lit("<s>")), w), F.lit(1), F.size(w)).alias("prev"), w.alias("token")))
+    rows = docs.select(F.col(id).alias("run_id"), F.posexplode(pairs).alias("pos", "pair"))
+    return rows.select("run_id", F.col("pos").cast("long").alias("pos"), "pair.token", "pair.prev")
 
 
 def bigram_tokens(tokens: DataFrame) -> DataFrame:
-    """tokens with logprob and entropy under the bigram model of all of them (a synthetic token source)."""
+    """tokens with logprob and entropy under the bigram model of all of them (a synthetic token source).
+
+    Counts of pairs are combined before the shuffle. Tokens meet the model by pairs: a model that
+    turns out small is broadcast at run time, and a frequent pair of a large one is a skewed
+    partition, which is split at run time as the model has one row for it.
+    """
     order = Window.partitionBy("run_id").orderBy("pos")
-    prev = tokens.withColumn("prev", F.coalesce(F.lag("token").over(order), F.lit("<s>")))
-    pairs = prev.groupBy("prev", "token").agg(F.count("*").alias("n"))
-    total = pairs.groupBy("prev").agg(F.sum("n").alias("total"))
-    p = F.col("n") / F.col("total")
-    model = pairs.join(total, "prev").select("prev", "token", F.log(p).alias("logprob"), (-p * F.log(p)).alias("part"))
-    spread = model.groupBy("prev").agg(F.sum("part").alias("entropy"))
-    model = model.drop("part").join(spread, "prev")
+    prev = tokens if "prev" in tokens.columns else tokens.withColumn("prev", F.coalesce(F.lag("token").over(order), F.lit("<s>")))
+    pairs = prev.groupBy("prev", "token").agg(F.count("*").cast("double").alias("n"))
+    # With N the word's count: the entropy is log N - sum(n log n) / N.
+    sums = pairs.groupBy("prev").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("part"))
+    model = pairs.join(sums, "prev").select("prev", "token", F.log(F.col("n") / F.col("total")).alias("logprob"), F.greatest(F.lit(0.0), F.log("total") - F.col("part") / F.col("total")).alias("entropy"))
     return prev.join(model, ["prev", "token"]).select("run_id", "pos", "token", "logprob", "entropy")
 
 
@@ -40,25 +48,39 @@ def martingale(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("m", F.sum(F.col("logprob") + F.col("entropy")).over(run))
 
 
-def ngrams(tokens: DataFrame, low: int = 6, high: int = 8, keep_tokens: bool = False) -> DataFrame:
-    """(run_id, n, start_pos, end_pos, mean_logprob, k1, k2[, ngram]): end_pos is exclusive.
+def _grams(tokens: DataFrame, low: int, high: int, keep_tokens: bool, features: bool) -> DataFrame:
+    """The rows of ngrams; with features, also a row with n = 0 for each token, which has its entropy and the prefix mean.
 
-    k1 and k2 are two hashes of the tokens that together stand for the n-gram, so no token array is
-    shuffled; frames of n rows give the means, without a join of n-grams and tokens.
+    One sort of a run gives both. Tokens count as two hashes, so no strings are carried along.
     """
     order = Window.partitionBy("run_id").orderBy("pos")
-    rows = tokens.withColumns({f"__b{k}": (F.lag("token", k).over(order) if k else F.col("token")) for k in range(high)})
+    rows = tokens.withColumns({"__t": F.xxhash64("token"), "__u": F.xxhash64(F.lit(1), "token")})
+    rows = rows.select("run_id", "pos", "logprob", "__t", "__u", *["token"] * keep_tokens, *["entropy"] * features)
+    lags = {f"{c}{k}": (F.lag(c, k).over(order) if k else F.col(c)) for c in ("__t", "__u", *["token"] * keep_tokens) for k in range(high)}
+    means = {f"__m{n}": F.avg("logprob").over(order.rowsBetween(-(n - 1), 0)) for n in range(low, high + 1)}
+    prefix = {"prefix": F.avg("entropy").over(order.rowsBetween(Window.unboundedPreceding, 0))} if features else {}
+    rows = rows.withColumns(lags | means | prefix)
     each = []
     for n in range(low, high + 1):
-        own = [F.col(f"__b{k}") for k in range(n - 1, -1, -1)]
-        mean = F.avg("logprob").over(order.rowsBetween(-(n - 1), 0))
-        rows = rows.withColumn(f"__m{n}", mean)
-        cells = [F.lit(n).alias("n"), F.col(f"__m{n}").alias("mean_logprob"), F.xxhash64(*own).alias("k1"), F.xxhash64(F.lit(n), *own).alias("k2")]
+        back = range(n - 1, -1, -1)
+        cells = [F.lit(n).alias("n"), F.col(f"__m{n}").alias("mean_logprob"), F.xxhash64(*[F.col(f"__t{k}") for k in back]).alias("k1"), F.xxhash64(F.lit(n), *[F.col(f"__u{k}") for k in back]).alias("k2")]
         if keep_tokens:
-            cells.append(F.array(*own).alias("ngram"))
-        each.append(F.when(F.col(f"__b{n - 1}").isNotNull(), F.struct(*cells)))
-    out = rows.select("run_id", "pos", F.explode(F.array(*each)).alias("g")).where("g is not null")
-    return out.select("run_id", "g.*", (F.col("pos") - F.col("g.n") + 1).alias("start_pos"), (F.col("pos") + 1).alias("end_pos"))
+            cells.append(F.array(*[F.col(f"token{k}") for k in back]).alias("ngram"))
+        each.append(F.when(F.col(f"__t{n - 1}").isNotNull(), F.struct(*cells)))
+    if features:
+        each.append(F.struct(F.lit(0).alias("n"), F.col("logprob").alias("mean_logprob"), F.col("pos").alias("k1"), F.lit(0).cast("long").alias("k2")))
+    out = rows.select("run_id", "pos", *["entropy", "prefix"] * features, F.explode(F.array(*each)).alias("g")).where("g is not null")
+    start = F.col("pos") - F.greatest(F.col("g.n"), F.lit(1)) + 1
+    return out.select("run_id", "g.*", start.alias("start_pos"), (F.col("pos") + 1).alias("end_pos"), *["entropy", "prefix"] * features)
+
+
+def ngrams(tokens: DataFrame, low: int = 6, high: int = 8, keep_tokens: bool = False) -> DataFrame:
+    """(run_id, n, start_pos, end_pos, mean_logprob, k1, k2[, ngram]): end_pos is exclusive.
+
+    k1 and k2 are two hashes of the tokens that together stand for the n-gram, so no token array is
+    shuffled; frames of n rows give the means, without a join of n-grams and tokens.
+    """
+    return _grams(tokens, low, high, keep_tokens, False)
 
 
 def without_prompt(grams: DataFrame, prompt: DataFrame) -> DataFrame:
@@ -92,7 +114,11 @@ def window_repetition(grams: DataFrame, size: int = 64, stride: int = 32) -> Dat
 
 
 def faulty_ngrams(grams: DataFrame, low, high, top: int = 10) -> DataFrame:
-    """The top repeated n-grams of each run inside [low, high): by delta, then by place; an n-gram once."""
+    """The top repeated n-grams of each run inside [low, high): by delta, then by place; an n-gram once.
+
+    low and high are numbers or columns of grams, such as each run's own rollback position and alarm.
+    """
+    low, high = (F.col(x) if isinstance(x, str) else x for x in (low, high))
     inside = grams.where(F.col("repeated") & (F.col("start_pos") >= low) & (F.col("end_pos") <= high))
     own = Window.partitionBy("run_id", "n", "k1", "k2").orderBy(F.desc("delta"), "end_pos", "n")
     best = inside.withColumn("r", F.row_number().over(own)).where("r = 1")
@@ -122,17 +148,29 @@ def window_means(tokens: DataFrame, size: int = 64, stride: int = 32) -> DataFra
 
 
 def window_features(tokens: DataFrame, config: WindowConfig | None = None, prompt: DataFrame | None = None) -> DataFrame:
-    """All features of full windows; prompt: tokens whose n-grams don't count."""
+    """All features of full windows; prompt: tokens whose n-grams don't count.
+
+    Tokens and n-grams are rows of one table from one pass over a run, and windows one aggregation of it:
+    after the shuffle by run nothing is shuffled or joined again.
+    """
     w = config or WindowConfig()
-    grams = ngrams(tokens, w.ngram_min, w.ngram_max)
+    rows = _grams(tokens, w.ngram_min, w.ngram_max, False, True)
     if prompt is not None:
-        grams = without_prompt(grams, ngrams(prompt.withColumn("logprob", F.lit(0.0)), w.ngram_min, w.ngram_max))
-    found = window_repetition(repeats(grams), w.size, w.stride)
-    means = window_means(tokens, w.size, w.stride)
-    ratio = F.log((F.col("mean_entropy") + EPS) / (F.col("prefix_entropy") + EPS))
-    out = means.join(found, ["run_id", "window_index"], "left")
-    rate = F.when(F.coalesce("n_ngrams", F.lit(0)) > 0, F.col("n_repeats") / F.col("n_ngrams")).otherwise(F.lit(0.0))
-    out = out.withColumn("repetition_rate", rate).withColumn("confident_loop", F.coalesce("confident_loop", F.lit(0.0))).withColumn("log_ratio", ratio)
+        rows = without_prompt(rows, ngrams(prompt.withColumn("logprob", F.lit(0.0)), w.ngram_min, w.ngram_max))
+    spread = repeats(rows).withColumn("window_index", F.explode(_windows_of(F.col("start_pos"), F.col("end_pos"), w.size, w.stride)))
+    token, gram = F.col("n") == 0, F.col("n") > 0
+    out = spread.groupBy("run_id", "window_index").agg(
+        F.count_if(token).alias("n_tokens"),
+        F.avg(F.when(token, F.col("entropy"))).alias("mean_entropy"),
+        F.avg(F.when(token, F.col("mean_logprob"))).alias("mean_logprob"),
+        F.max_by("prefix", F.when(token, F.col("end_pos"))).alias("prefix_entropy"),
+        F.count_if(gram).alias("n_ngrams"),
+        F.count_if(gram & F.col("repeated")).alias("n_repeats"),
+        F.max(F.when(gram, F.col("delta"))).alias("loop"),
+    )
+    rate = F.when(F.col("n_ngrams") > 0, F.col("n_repeats") / F.col("n_ngrams")).otherwise(F.lit(0.0))
+    start, ratio = F.col("window_index") * w.stride, F.log((F.col("mean_entropy") + EPS) / (F.col("prefix_entropy") + EPS))
+    out = out.where(F.col("n_tokens") == w.size).select("run_id", "window_index", start.alias("start_pos"), (start + w.size).alias("end_pos"), "mean_entropy", "mean_logprob", "prefix_entropy", "n_ngrams", "n_repeats", rate.alias("repetition_rate"), F.coalesce("loop", F.lit(0.0)).alias("confident_loop"), ratio.alias("log_ratio"))
     return out.withColumn("local_pos", F.greatest(F.lit(0.0), F.col("log_ratio"))).withColumn("local_neg", F.greatest(F.lit(0.0), -F.col("log_ratio")))
 
 

@@ -17,8 +17,8 @@ def or_zero(name: str, present: Sequence[str], *others: str) -> Column:
     return F.coalesce(*[F.col(c).cast("double") for c in (name, *others) if c in present], F.lit(0.0))
 
 
-def metrics(rows: DataFrame) -> DataFrame:
-    """One row of means with each metric's own default; no row for no rows."""
+def metrics(rows: DataFrame, *by: str) -> DataFrame:
+    """Means with each metric's own default: one row (none for no rows), or one for each group of by."""
     has = rows.columns
     length = lambda c: F.size(c).cast("double") if c in has else F.lit(0.0)
     count = lambda c, l: F.coalesce(F.col(c).cast("double"), length(l)) if c in has else length(l)  # noqa: E731, E741
@@ -32,7 +32,7 @@ def metrics(rows: DataFrame) -> DataFrame:
         "false_alert_rate": flag("false_alert"),
         "degeneration_rate": flag("degenerated"),
     }
-    return rows.agg(F.count("*").alias("rows"), *[F.avg(c).alias(k) for k, c in cells.items()]).where("rows > 0").drop("rows")
+    return rows.groupBy(*by).agg(F.count("*").alias("rows"), *[F.avg(c).alias(k) for k, c in cells.items()]).where("rows > 0").drop("rows")
 
 
 def group_summary(rows: DataFrame) -> DataFrame:

@@ -15,7 +15,5 @@ FLAGSHIP_SQL = f"""WITH {sequences._CP} SELECT run_id, window_index, changepoint
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that degenerate: first alarm of each, where the change began and where a rollback would go."""
-    stats = sequences.stats_of(spark, sf_dir)
-    alarms = detection.changepoints(stats, detection.first_alarm(stats, sequences.H))
-    out = detection.rollback_positions(alarms, stats)
+    out = detection.rollback_positions(sequences.alarms_of(spark, sf_dir), margin=0)
     return rounded(out.withColumnRenamed("logE", "loge").select("run_id", "window_index", "changepoint", "token_pos", "rollback_token_pos", "loge"))

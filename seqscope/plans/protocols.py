@@ -232,12 +232,12 @@ _MATH = "CASE l_orderkey % 4 WHEN 0 THEN q || '/' || n WHEN 1 THEN q || '.5' WHE
 
 @query(f"SELECT l_orderkey, l_linenumber, {_MATH.replace(' FROM', ' AS normal FROM', 1)}")
 def a09_math_normalize(spark, sf_dir):
-    return _latex(spark, sf_dir).select("l_orderkey", "l_linenumber", udfs.normalize_math(udfs.math_answer("answer")).alias("normal"))
+    return _latex(spark, sf_dir).select("l_orderkey", "l_linenumber", udfs.normal_math_answer("answer").alias("normal"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN 1.0 ELSE 0.0 END AS correct FROM lineitem")
 def a10_score_math(spark, sf_dir):
-    a = _latex(spark, sf_dir).withColumn("normal", udfs.normalize_math(udfs.math_answer("answer")))
+    a = _latex(spark, sf_dir).withColumn("normal", udfs.normal_math_answer("answer"))
     other = F.when(F.col("l_linenumber") % 2 == 0, F.col("normal")).otherwise(F.lit("\\text{none}"))
     return a.withColumn("given", other).select("l_orderkey", "l_linenumber", F.when(F.col("normal") == udfs.normalize_math("given"), 1.0).otherwise(0.0).alias("correct"))
 
@@ -274,10 +274,9 @@ _RES = """res AS (SELECT l_returnflag AS method, l_linestatus AS precision, CASE
     l_quantity AS tokens, l_quantity + l_linenumber AS events, CAST(l_linenumber AS DOUBLE) AS extra, l_tax AS latency, l_linenumber % 3 AS alerts, l_linenumber % 2 AS backs, CASE WHEN l_linenumber > 3 THEN l_discount END AS err FROM lineitem)"""
 
 
-@query(f"WITH {_RES} SELECT method, round(avg(coalesce(correct, 0)), 6) AS accuracy, round(avg(tokens), 6) AS tokens_generated, round(avg(latency), 6) AS latency, 0.0 AS number_of_alerts, 0.0 AS number_of_backtracks, 0.0 AS false_alert_rate, 0.0 AS degeneration_rate FROM (SELECT *, 1 AS one FROM res WHERE method = 'R') GROUP BY method")
+@query(f"WITH {_RES} SELECT method, round(avg(coalesce(correct, 0)), 6) AS accuracy, round(avg(tokens), 6) AS tokens_generated, round(avg(latency), 6) AS latency, 0.0 AS number_of_alerts, 0.0 AS number_of_backtracks, 0.0 AS false_alert_rate, 0.0 AS degeneration_rate FROM res GROUP BY method")
 def m01_metrics(spark, sf_dir):
-    one = stats.metrics(_results(spark, sf_dir).where("method = 'R'"))
-    return rounded(one.withColumn("method", F.lit("R")))
+    return rounded(stats.metrics(_results(spark, sf_dir), "method"))
 
 
 _GROUPS = """SELECT precision, method, count(*) AS num_instances, round(count_if(correct = 1) / count_if(correct IS NOT NULL), 6) AS accuracy, count_if(correct = 1) AS num_correct, count_if(correct IS NOT NULL) AS num_scored, count_if(correct IS NOT NULL AND NOT ok) AS num_answer_extraction_failures,

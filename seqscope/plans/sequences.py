@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import BUCKETS, GLOBAL_BUCKET, Config, DetectorConfig, ScoreConfig, ablate
 from ..functions import columns as C
 from ..operators import calibration, detection, sequence
+from ..sources.scratch import save
 from .registry import query, r, rounded, table
 
 H = 11.42926413138305
@@ -92,31 +92,39 @@ ALARMS = f"""{STATS},
 
 
 def tokens_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.bigram_tokens(sequence.split_tokens(table(spark, sf_dir, "documents")))
+    return sequence.bigram_tokens(sequence.split_tokens(table(spark, sf_dir, "documents"), prev=True))
 
 
 def windows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequence.scored_windows(tokens_of(spark, sf_dir))
 
 
-def reference_of(spark: SparkSession, sf_dir: str, windows: DataFrame, buckets=BUCKETS) -> DataFrame:
-    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("run_id")).distinct()
-    return calibration.pools(windows.join(good, "run_id", "left_semi"), buckets)
+def good_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("run_id")).distinct()
 
 
 def pvalues_of(spark: SparkSession, sf_dir: str, buckets=BUCKETS) -> DataFrame:
-    """Windows with p-values; windows are computed once for the queries and the reference pools."""
-    windows = windows_of(spark, sf_dir).select("run_id", "window_index", "start_pos", "end_pos", "score").persist(StorageLevel.MEMORY_AND_DISK)
-    return calibration.tail_pvalues(windows, reference_of(spark, sf_dir, windows, buckets), buckets)
+    """Windows with p-values and healthy, which marks the reference runs' windows.
+
+    Windows are written once, a narrow row for 32 tokens: ranks read them twice, and a lost executor
+    costs no second pass over the tokens.
+    """
+    windows = windows_of(spark, sf_dir).select("run_id", "window_index", "start_pos", "end_pos", "score")
+    good = good_runs(spark, sf_dir).select(F.col("run_id").alias("__good"))
+    windows = save(windows.join(good, windows.run_id == F.col("__good"), "left").withColumn("healthy", F.col("__good").isNotNull()).drop("__good"))
+    return calibration.tail_pvalues(windows, "healthy", buckets, bare=calibration.bare_buckets(windows, "healthy", buckets))
 
 
 def stats_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detection.cusum(pvalues_of(spark, sf_dir))
 
 
+def alarms_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detection.alarms(stats_of(spark, sf_dir), H)
+
+
 def healthy_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("run_id")).distinct()
-    return pvalues_of(spark, sf_dir).join(good, "run_id", "left_semi")
+    return pvalues_of(spark, sf_dir).where("healthy")
 
 
 _EMB = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS l FROM embeddings), s AS (SELECT *, list_transform(l, lambda x: x - list_max(l)) AS sh FROM e), z AS (SELECT *, ln(list_sum(list_transform(sh, lambda x: exp(x)))) AS lz FROM s)"
@@ -212,9 +220,8 @@ def w04_loop_delta(spark, sf_dir):
 
 @query(f"WITH {WINDOWS} SELECT run_id, window_index, n_ngrams, CAST(n_repeats AS BIGINT) AS n_repeats FROM rep_windows JOIN means USING (run_id, window_index)")
 def w05_window_repetition(spark, sf_dir):
-    t = tokens_of(spark, sf_dir)
-    found = sequence.window_repetition(sequence.repeats(sequence.ngrams(t)))
-    return rounded(found.join(sequence.window_means(t), ["run_id", "window_index"]).select("run_id", "window_index", "n_ngrams", "n_repeats"))
+    out = sequence.window_features(tokens_of(spark, sf_dir))
+    return rounded(out.where("n_ngrams > 0").select("run_id", "window_index", "n_ngrams", "n_repeats"))
 
 
 @query(f"WITH {WINDOWS} SELECT run_id, window_index, round(confident_loop, 6) AS confident_loop FROM featured WHERE confident_loop > 1e-9")
@@ -222,17 +229,37 @@ def w06_confident_loop(spark, sf_dir):
     return rounded(sequence.window_features(tokens_of(spark, sf_dir)).where("confident_loop > 1e-9").select("run_id", "window_index", "confident_loop"))
 
 
-@query(f"""WITH {REPEATS}, d AS (SELECT *, round(delta, 9) AS q FROM reps WHERE repeated AND end_pos <= 512),
-    best AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY run_id, n, gram ORDER BY q DESC, end_pos, n) = 1)
-    SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY q DESC, end_pos, n) AS rank, CAST(n AS BIGINT) AS n, end_pos, round(q, 6) AS delta FROM best QUALIFY rank <= 10""")
+def _top_faulty(inside: str) -> str:
+    return f"""best AS (SELECT * FROM ({inside}) QUALIFY row_number() OVER (PARTITION BY run_id, n, gram ORDER BY q DESC, end_pos, n) = 1)
+    SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY q DESC, end_pos, n) AS rank, CAST(n AS BIGINT) AS n, end_pos, round(q, 6) AS delta FROM best QUALIFY rank <= 10"""
+
+
+@query(f"WITH {REPEATS}, {_top_faulty('SELECT *, round(delta, 9) AS q FROM reps WHERE repeated')}")
 def w07_faulty_topk(spark, sf_dir):
+    """The top faulty n-grams of each whole run."""
     g = sequence.repeats(sequence.ngrams(tokens_of(spark, sf_dir))).withColumn("delta", F.round("delta", 9))
-    return rounded(sequence.faulty_ngrams(g, 0, 512).select("run_id", "rank", "n", "end_pos", "delta"))
+    return rounded(sequence.faulty_ngrams(g, F.lit(0), F.col("end_pos")).select("run_id", "rank", "n", "end_pos", "delta"))
+
+
+def _half(spark, sf_dir):
+    """Each document's middle, as a cut that differs from run to run: half of its tokens, rounded down."""
+    return sequence.split_tokens(table(spark, sf_dir, "documents")).groupBy("run_id").agg(F.floor(F.count("*") / 2).alias("cut"))
+
 
+_WIN = "SELECT run_id, unnest(range(greatest(0, CAST(ceil((pos - 63) / 32.0) AS BIGINT)), pos // 32 + 1)) AS window_index"
 
-@query(f"WITH {TOK}, w AS (SELECT run_id, unnest(range(greatest(0, CAST(ceil((pos - 63) / 32.0) AS BIGINT)), pos // 32 + 1)) AS window_index FROM tok WHERE pos < 4096) SELECT run_id, window_index, count(*) AS tokens FROM w GROUP BY ALL HAVING count(*) = 64")
+
+@query(f"WITH {TOK}, cuts AS (SELECT run_id, count(*) // 2 AS cut FROM tok GROUP BY run_id), w AS ({_WIN} FROM tok JOIN cuts USING (run_id) WHERE pos < cut) SELECT run_id, window_index, count(*) AS tokens FROM w GROUP BY ALL HAVING count(*) = 64")
+def w08_truncated_windows(spark, sf_dir):
+    """What is derived again from tokens before each run's own cut."""
+    t = sequence.split_tokens(table(spark, sf_dir, "documents")).withColumns({"entropy": F.lit(0.0), "logprob": F.lit(0.0)})
+    own = sequence.truncated(t.join(_half(spark, sf_dir), "run_id"), F.col("cut"))
+    return sequence.window_means(own).select("run_id", "window_index", F.lit(64).cast("long").alias("tokens"))
+
+
+@query(f"WITH {TOK}, w AS ({_WIN} FROM tok) SELECT run_id, window_index, count(*) AS tokens FROM w GROUP BY ALL HAVING count(*) = 64")
 def w08_w09_sliding_windows(spark, sf_dir):
-    t = sequence.truncated(sequence.split_tokens(table(spark, sf_dir, "documents")), 4096).withColumns({"entropy": F.lit(0.0), "logprob": F.lit(0.0)})
+    t = sequence.split_tokens(table(spark, sf_dir, "documents")).withColumns({"entropy": F.lit(0.0), "logprob": F.lit(0.0)})
     return sequence.window_means(t).select("run_id", "window_index", F.lit(64).cast("long").alias("tokens"))
 
 
@@ -299,7 +326,7 @@ def c08_configurable_healthy(spark, sf_dir):
 
 @query(f"WITH {WINDOWS} SELECT {BUCKET} AS bucket, count(*) AS windows, count(DISTINCT run_id) AS trajectories FROM scored WHERE run_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL")
 def c09_reference_summary(spark, sf_dir):
-    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("run_id")).distinct()
+    good = good_runs(spark, sf_dir)
     return calibration.reference_summary(windows_of(spark, sf_dir).join(good, "run_id", "left_semi"))
 
 
@@ -360,22 +387,28 @@ _CP = f"{ALARMS}, cps AS (SELECT a.run_id, a.window_index, coalesce(max(s.window
 
 @query(f"WITH {_CP} SELECT run_id, window_index, changepoint FROM cps")
 def d05_changepoint(spark, sf_dir):
-    s = stats_of(spark, sf_dir)
-    return rounded(detection.changepoints(s, detection.first_alarm(s, H)).select("run_id", "window_index", "changepoint"))
+    return rounded(alarms_of(spark, sf_dir).select("run_id", "window_index", "changepoint"))
 
 
 @query(f"WITH {_CP} SELECT run_id, 32 * window_index + 64 AS token_pos, greatest(0, 32 * changepoint - 16) AS rollback_token_pos FROM cps")
 def d09_rollback_positions(spark, sf_dir):
-    s = stats_of(spark, sf_dir)
-    found = detection.changepoints(s, detection.first_alarm(s, H))
-    return rounded(detection.rollback_positions(found, s, margin=16).select("run_id", "token_pos", "rollback_token_pos"))
+    return rounded(detection.rollback_positions(alarms_of(spark, sf_dir), margin=16).select("run_id", "token_pos", "rollback_token_pos"))
+
+
+@query(f"""WITH {_CP}, cut AS (SELECT run_id, greatest(0, 32 * changepoint - 16) AS low, 32 * window_index + 64 AS high FROM cps),
+    {_top_faulty('SELECT r.*, round(r.delta, 9) AS q FROM reps r JOIN cut USING (run_id) WHERE repeated AND r.start_pos >= low AND r.end_pos <= high')}""")
+def w07_faulty_of_alarms(spark, sf_dir):
+    """The faulty n-grams of alarmed runs, each between its own rollback position and its alarm."""
+    tokens = tokens_of(spark, sf_dir)
+    found = detection.rollback_positions(alarms_of(spark, sf_dir), margin=16).select("run_id", F.col("rollback_token_pos").alias("low"), F.col("token_pos").alias("high"))
+    g = sequence.repeats(sequence.ngrams(tokens.join(found.select("run_id"), "run_id", "left_semi"))).withColumn("delta", F.round("delta", 9))
+    return rounded(sequence.faulty_ngrams(g.join(found, "run_id"), "low", "high").select("run_id", "rank", "n", "end_pos", "delta"))
 
 
 @query(f"WITH {_CP}, cut AS (SELECT run_id, greatest(0, 32 * changepoint - 16) AS cut FROM cps) SELECT s.run_id, count(*) AS stale FROM stats s JOIN cut USING (run_id) WHERE end_pos > cut GROUP BY s.run_id")
 def g14_stale_windows(spark, sf_dir):
     s = stats_of(spark, sf_dir)
-    a = detection.rollback_positions(detection.changepoints(s, detection.first_alarm(s, H)), s, margin=16)
-    return detection.stale_windows(s, a).groupBy("run_id").agg(F.count("*").alias("stale"))
+    return detection.stale_windows(s, detection.rollback_positions(detection.alarms(s, H), margin=16)).groupBy("run_id").agg(F.count("*").alias("stale"))
 
 
 @query(f"""WITH RECURSIVE {_EP}, steps AS (

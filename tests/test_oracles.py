@@ -1,6 +1,7 @@
 """Every query of the reference's operators against its SQL, on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from seqscope.plans import FLAGSHIP_SQL, QUERIES, SQL, flagship
@@ -19,7 +20,8 @@ def duck(sf_dir):
 def rows(frame):
     out = []
     for row in frame[sorted(frame.columns)].astype(object).itertuples(index=False):
-        out.append(tuple(None if v is None or v != v else round(float(v), 6) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in row))
+        cell = lambda v: None if pd.api.types.is_scalar(v) and pd.isna(v) else round(float(v), 6) + 0.0 if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
+        out.append(tuple(map(cell, row)))
     return sorted(out, key=str)
 
 
