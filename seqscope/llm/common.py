@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import re
-import shutil
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,6 +9,10 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import new_folder, remove, save, shared_dir
+
+__all__ = ["WORD", "by_size", "components", "n_words", "new_folder", "remove", "save", "shared_dir", "table", "text_of"]
+
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -23,49 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset on a local master (tests), one of our own.
-
-    A cluster without the setting is an error, as its executors don't see the driver's folders.
-    """
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="seqscope-")
-        atexit.register(shutil.rmtree, folder.removeprefix("file://"), ignore_errors=True)
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Removes a folder in the shared one, if it is there."""
-    with contextlib.suppress(Exception):
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def new_folder(spark: SparkSession, prefix: str = "seqscope") -> str:
-    """The path of a new folder in the shared one, which is removed when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/{prefix}-{uuid.uuid4().hex}"
-    atexit.register(remove, spark, path)
-    return path
-
-
-def save(df: DataFrame, *partition_by: str, path: str | None = None) -> DataFrame:
-    """The same rows, written as Parquet into the shared folder (or the folder path) and read back.
-
-    Lineage ends there, so a lost executor costs no recomputation of what came before. Written tables
-    hold less than a checkpoint does and let later scans prune columns.
-    """
-    path = path or new_folder(df.sparkSession)
-    df.write.parquet(path, partitionBy=list(partition_by) or None)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def by_size(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have at most so many bytes together (a longer text is a slice of its own)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).cumsum()
