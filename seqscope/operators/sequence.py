@@ -29,17 +29,19 @@ def split_tokens(docs: DataFrame, id: str = "doc_id", text: str = "text", prev:
 def bigram_tokens(tokens: DataFrame) -> DataFrame:
     """tokens with logprob and entropy under the bigram model of all of them (a synthetic token source).
 
-    Counts of pairs are combined before the shuffle. Tokens meet the model by pairs: a model that
-    turns out small is broadcast at run time, and a frequent pair of a large one is a skewed
-    partition, which is split at run time as the model has one row for it.
+    Words and pairs are keys of two 64-bit hashes. Counts of pairs are combined before the shuffle and
+    stay where tokens meet them, so the model isn't shuffled again while the words' sums are small enough to
+    be broadcast at run time. A frequent pair is a skewed partition of the join, which is split
+    at run time, as the model has one row for it.
     """
     order = Window.partitionBy("run_id").orderBy("pos")
     prev = tokens if "prev" in tokens.columns else tokens.withColumn("prev", F.coalesce(F.lag("token").over(order), F.lit("<s>")))
-    pairs = prev.groupBy("prev", "token").agg(F.count("*").cast("double").alias("n"))
+    prev = prev.select("run_id", "pos", "token", *[F.xxhash64(F.lit(i), *c).alias(k) for c, *ks in ((("prev", "token"), "p", "q"), (("prev",), "v", "w")) for i, k in enumerate(ks)])
+    pairs = prev.groupBy("p", "q").agg(F.count("*").cast("double").alias("n"), F.first("v").alias("v"), F.first("w").alias("w"))
     # With N the word's count: the entropy is log N - sum(n log n) / N.
-    sums = pairs.groupBy("prev").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("part"))
-    model = pairs.join(sums, "prev").select("prev", "token", F.log(F.col("n") / F.col("total")).alias("logprob"), F.greatest(F.lit(0.0), F.log("total") - F.col("part") / F.col("total")).alias("entropy"))
-    return prev.join(model, ["prev", "token"]).select("run_id", "pos", "token", "logprob", "entropy")
+    sums = pairs.groupBy("v", "w").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log("n")).alias("part"))
+    model = pairs.join(sums, ["v", "w"]).select("p", "q", F.log(F.col("n") / F.col("total")).alias("logprob"), F.greatest(F.lit(0.0), F.log("total") - F.col("part") / F.col("total")).alias("entropy"))
+    return prev.drop("v", "w").join(model, ["p", "q"]).select("run_id", "pos", "token", "logprob", "entropy")
 
 
 def martingale(tokens: DataFrame) -> DataFrame:

@@ -43,6 +43,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of a table up to which it is dealt to all cores.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt to all cores if it is a small table, which may be a single split; a large one has splits enough."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 2) if size <= SMALL else df
+
+
 def r(name: str | Column, digits: int = 6) -> Column:
     """Rounded, without a negative zero."""
     return F.round(F.col(name) if isinstance(name, str) else name, digits) + F.lit(0.0)

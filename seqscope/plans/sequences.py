@@ -9,7 +9,7 @@ from ..config import BUCKETS, GLOBAL_BUCKET, Config, DetectorConfig, ScoreConfig
 from ..functions import columns as C
 from ..operators import calibration, detection, sequence
 from ..sources.scratch import save
-from .registry import query, r, rounded, table
+from .registry import query, r, rounded, spread, table
 
 H = 11.42926413138305
 GAMMAS = DetectorConfig.gammas
@@ -92,7 +92,7 @@ ALARMS = f"""{STATS},
 
 
 def tokens_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.bigram_tokens(sequence.split_tokens(table(spark, sf_dir, "documents"), prev=True))
+    return sequence.bigram_tokens(sequence.split_tokens(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), prev=True))
 
 
 def windows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
