@@ -7,7 +7,7 @@ planes, and pairs within a wide radius are verified with the exact similarity.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,8 +27,8 @@ KEY_BITS = 24
 BANDS, BAND_HASHES = 24, 5
 #: Fingerprints of sets of shingles with a similarity of 0.8 differ in 9.7 bits on average (sd 2.9).
 WIDE_RADIUS = 24
-#: Blocks with more shingles are compared as pairs of blocks of about this many.
-BLOCK_SHINGLES = 1 << 20
+#: Blocks with more shingles are compared as pairs of parts of about this many, after so many of their members, the pivots, met all.
+BLOCK_SHINGLES, PIVOTS = 1 << 20, 8
 #: Offsets and odd multipliers of the bands' hashes.
 FLIP, TIMES = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * BAND_HASHES, 1), np.uint64)
 TIMES |= np.uint64(1)
@@ -311,37 +311,49 @@ def set_signatures(docs: DataFrame, width: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, content long, node long, fp long, size long, keys array<long>")
 
 
-def linked(fps: np.ndarray, sets: list[np.ndarray], tenths: int, radius: int) -> np.ndarray:
-    """For each set, the first one of its class: classes join sets of a similarity of tenths / 10 at least. No set is empty.
+def similar(sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, tenths: int, root: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, those j of its pairs whose similarity is tenths / 10 at least), for pairs (first, second) sorted by first.
 
-    Pairs come from comparing fingerprints by bit planes; those in one class already need no check.
-    Pairs of one set are checked all at once.
+    All pairs of one set are checked at once; with root, pairs that are in one class by then are left out.
     """
-    sizes, root = np.array([len(s) for s in sets]), np.arange(len(sets))
+    sizes = np.array([len(s) for s in sets])
     start = np.r_[0, np.cumsum(sizes)]
     names, ids = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(len(names), bool)
+    fit = 10 * np.minimum(sizes[first], sizes[second]) >= tenths * np.maximum(sizes[first], sizes[second])
+    first, second = first[fit], second[fit]
+    edges = np.flatnonzero(np.r_[True, first[1:] != first[:-1], True]) if len(first) else np.zeros(1, np.int64)
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+        i, rest = int(first[low]), second[low:high]
+        if root is not None:
+            rest = rest[root[rest] != root[i]]
+        if not len(rest):
+            continue
+        mine = ids[start[i] : start[i + 1]]
+        mark[mine] = True
+        met = np.concatenate([ids[start[j] : start[j + 1]] for j in rest])
+        common = np.add.reduceat(mark[met], np.r_[0, np.cumsum(sizes[rest])[:-1]], dtype=np.int64)
+        mark[mine] = False
+        close = rest[10 * common >= tenths * (sizes[i] + sizes[rest] - common)]
+        if len(close):
+            yield i, close
+
+
+def linked(fps: np.ndarray, sets: list[np.ndarray], tenths: int, radius: int, known: np.ndarray | None = None) -> np.ndarray:
+    """For each set, the first one of its class: classes join sets of a similarity of tenths / 10 at least. No set is empty.
+
+    Pairs come from comparing fingerprints by bit planes. Sets of equal known (0: none) are in one class from the start.
+    """
+    root = np.arange(len(sets))
+    if known is not None:
+        names, first, place = np.unique(known, return_index=True, return_inverse=True)
+        root = np.where(known == 0, root, first[place])
     for first, second in close_pairs(fps, np.zeros(len(fps), np.int64), radius):
-        fit = 10 * np.minimum(sizes[first], sizes[second]) >= tenths * np.maximum(sizes[first], sizes[second])
-        fit &= root[first] != root[second]
-        first, second = first[fit], second[fit]
+        apart = root[first] != root[second]
+        first, second = first[apart], second[apart]
         order = np.argsort(first, kind="stable")
-        first, second = first[order], second[order]
-        edges = np.flatnonzero(np.r_[True, first[1:] != first[:-1], True]) if len(first) else np.zeros(1, np.int64)
-        for low, high in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            i = int(first[low])
-            rest = second[low:high]
-            rest = rest[root[rest] != root[i]]
-            if not len(rest):
-                continue
-            mine = ids[start[i] : start[i + 1]]
-            mark[mine] = True
-            met = np.concatenate([ids[start[j] : start[j + 1]] for j in rest])
-            common = np.add.reduceat(mark[met], np.r_[0, np.cumsum(sizes[rest])[:-1]], dtype=np.int64)
-            mark[mine] = False
-            close = rest[10 * common >= tenths * (sizes[i] + sizes[rest] - common)]
-            if len(close):
-                hang(root, np.full(len(close), i), close)
+        for i, close in similar(sets, first[order], second[order], tenths, root):
+            hang(root, np.full(len(close), i), close)
     return root
 
 
@@ -350,8 +362,9 @@ def link_similar(docs: DataFrame, signed: DataFrame, width: int, tenths: int, ra
 
     Texts with one set of shingles are one node. Bands with the same smallest node make one block, so
     that near copies meet in few blocks and not in one for each band; a node has at most BANDS rows in
-    a table of any size. Blocks of over BLOCK_SHINGLES shingles are compared part against part in
-    separate tasks. A block yields the edges of a spanning forest, at most one for each member, not all its pairs.
+    a table of any size. In a block of over BLOCK_SHINGLES shingles, all members meet its pivots first (see
+    star), and what these join needs no comparison; the rest is compared part against part in separate
+    tasks. A part yields the edges of a spanning forest, at most one for each member, not all its pairs.
     """
     one = F.min(F.struct("doc_id", "content")).alias("one")
     nodes = save(signed.where("size > 0").groupBy("node", "fp", "size").agg(one, F.first("keys").alias("keys")))
@@ -364,27 +377,82 @@ def link_similar(docs: DataFrame, signed: DataFrame, width: int, tenths: int, ra
             sets = pa.array([shingles(t.as_py(), width).tobytes() for t in batch.column(2)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["member", "fp", "hashes"])
 
-    chosen = nodes.join(pairs.select("node").distinct(), "node").select(F.col("node").alias("member"), "fp", F.col("one.doc_id").alias("id"), F.col("one.content").alias("hash"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("content"))
-    texts = texts.join(chosen, texts.doc_id.eqNullSafe(chosen.id) & (texts.content == chosen.hash)).select("member", "fp", "text")
-    sets = texts.mapInArrow(hashes, "member long, fp long, hashes binary").dropDuplicates(["member"])
-
-    large = pairs.groupBy("leader").agg(F.sum("size").alias("total")).where(F.col("total") > BLOCK_SHINGLES)
-    large = large.select(F.col("leader").alias("l"), F.ceil(F.col("total") / BLOCK_SHINGLES).alias("n_blocks"))
-    dealt = pairs.join(large, pairs.leader == large.l, "left").withColumn("n_blocks", F.coalesce("n_blocks", F.lit(1).cast("long")))
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("n_blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    dealt = dealt.select("leader", "node", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    def sets_of(chosen: DataFrame) -> DataFrame:
+        """(member, fp, hashes) of nodes, from one text of each."""
+        own = nodes.join(chosen.select("node").distinct(), "node").select(F.col("node").alias("member"), "fp", F.col("one.doc_id").alias("id"), F.col("one.content").alias("hash"))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("content"))
+        texts = texts.join(own, texts.doc_id.eqNullSafe(own.id) & (texts.content == own.hash)).select("member", "fp", "text")
+        return texts.mapInArrow(hashes, "member long, fp long, hashes binary").dropDuplicates(["member"])
 
     def run(group: pa.Table) -> pa.Table:
         node = group["node"].to_numpy()
         order = np.argsort(node)
         fps = group["fp"].to_numpy()[order].view(np.uint64)
-        root = linked(fps, [np.frombuffer(group["hashes"][int(i)].as_py(), np.uint64) for i in order], tenths, radius)
+        root = linked(fps, [np.frombuffer(group["hashes"][int(i)].as_py(), np.uint64) for i in order], tenths, radius, group["class"].to_numpy()[order])
         moved = np.flatnonzero(root != np.arange(len(root)))
         return pa.table({"a": node[order[moved]], "b": node[order[root[moved]]]})
 
-    groups = dealt.join(sets, dealt.node == sets.member).select("leader", "x", "y", "node", "fp", "hashes")
-    return groups.groupBy("leader", "x", "y").applyInArrow(run, "a long, b long")
+    zero = F.lit(0).cast("long")
+    alone = F.struct(zero.alias("class"), zero.alias("part"))
+    large = save(pairs.groupBy("leader").agg(F.sum("size").alias("total")).where(F.col("total") > BLOCK_SHINGLES).select(F.col("leader").alias("l"), F.ceil(F.col("total") / BLOCK_SHINGLES).alias("parts")))
+    unpaired = lambda df: df.select("leader", "node", zero.alias("class"), alone.alias("x"), alone.alias("y"))
+    dealt, found = unpaired(pairs), None
+    if not large.isEmpty():
+        members = save(pairs.join(large, pairs.leader == large.l).drop("l"))
+        found = save(star(members, sets_of, tenths))
+        dealt = unpaired(pairs.join(large, pairs.leader == large.l, "left_anti")).unionByName(rest_of(members, found))
+    sets = sets_of(dealt)
+    groups = dealt.join(sets, dealt.node == sets.member).select("leader", "x", "y", "node", "class", "fp", "hashes")
+    edges = groups.groupBy("leader", "x", "y").applyInArrow(run, "a long, b long")
+    return edges if found is None else edges.union(found)
+
+
+def pivots_of(members: DataFrame) -> DataFrame:
+    """(leader, pivot): at most PIVOTS members of each block, the smallest node of each class of hashes."""
+    return members.groupBy("leader", F.pmod(F.xxhash64("node"), F.lit(PIVOTS)).alias("slot")).agg(F.min("node").alias("pivot")).drop("slot")
+
+
+def star(members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], tenths: int) -> DataFrame:
+    """Edges (a, b) between all members (leader, node, size, parts) of blocks and their block's pivots, as far as they are similar.
+
+    Each part of a block meets the pivots in a task of its own, so the work grows with the number of members.
+    """
+    pivots = pivots_of(members).join(members.select("leader", "parts").distinct(), "leader")
+    rows = members.select("leader", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"), "node", F.lit(False).alias("pivot"))
+    rows = rows.unionByName(pivots.select("leader", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("node"), F.lit(True).alias("pivot")))
+    sets = sets_of(members)
+
+    def run(group: pa.Table) -> pa.Table:
+        node, pivot = group["node"].to_numpy(), group["pivot"].to_numpy(zero_copy_only=False)
+        own = [np.frombuffer(x.as_py(), np.uint64) for x in group["hashes"]]
+        centres, others = np.flatnonzero(pivot), np.flatnonzero(~pivot)
+        met = similar(own, np.repeat(centres, len(others)), np.tile(others, len(centres)), tenths)
+        edges = [np.stack([node[close], np.full(len(close), node[i])]) for i, close in met]
+        a, b = np.concatenate([np.zeros((2, 0), np.int64), *edges], axis=1)
+        return pa.table({"a": a[a != b], "b": b[a != b]})
+
+    joined = rows.join(sets, rows.node == sets.member).select("leader", "part", "node", "pivot", "hashes")
+    return joined.groupBy("leader", "part").applyInArrow(run, "a long, b long")
+
+
+def rest_of(members: DataFrame, found: DataFrame) -> DataFrame:
+    """(leader, node, class, x, y): the pairs of parts of large blocks that are still to be compared, with their members.
+
+    Members that the found edges join with a pivot of their block are of the pivots' class, the others of
+    class 0. Classes are dealt to parts. A part of one class but 0 isn't compared with others of that class.
+    """
+    roots = save(components(found))
+    centres = pivots_of(members).join(roots, F.col("pivot") == F.col("node")).select(F.col("leader").alias("cl"), F.col("root").alias("class")).distinct()
+    known = members.join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").drop("rn")
+    known = known.join(centres, (F.col("leader") == F.col("cl")) & (F.col("root") == F.col("class")), "left").withColumn("class", F.coalesce("class", F.lit(0).cast("long"))).select("leader", "node", "size", "class")
+    known = save(known)
+    parts = known.groupBy("leader", "class").agg(F.ceil(F.sum("size") / BLOCK_SHINGLES).alias("n"))
+    of = parts.select(F.col("leader").alias("pl"), F.col("class").alias("pc"), "n")
+    own = F.struct("class", F.pmod(F.xxhash64("node"), F.col("n")).alias("part"))
+    rows = known.join(of, (F.col("leader") == F.col("pl")) & (F.col("class") == F.col("pc"))).select("leader", "node", "class", own.alias("own"))
+    blocks = parts.select("leader", "class", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("part")).select(F.col("leader").alias("bl"), F.struct("class", "part").alias("other"))
+    todo = (F.col("leader") == F.col("bl")) & ((F.col("class") == 0) | (F.col("other.class") != F.col("class")))
+    return rows.join(blocks, todo).select("leader", "node", "class", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, tenths: int = 8) -> DataFrame:
