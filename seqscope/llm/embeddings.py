@@ -121,16 +121,23 @@ def _pivots(classes: DataFrame, counts: DataFrame, reach: float, block: int) ->
     return out
 
 
+def keyed(vectors: DataFrame) -> DataFrame:
+    """(vec_id, label, embedding, k1, k2) of all rows."""
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.withColumns({"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(1), "embedding")})
+
+
 def classes_of(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows that can link (vec_id, label, embedding), and their classes of equal label and vector.
 
-    Classes: cid, label, dim, embedding, n (vectors), least (smallest vec_id). Rows whose vector or label is
-    null, or whose vector is empty, zero or has null or non-finite components, can't link.
+    Classes: cid, label, dim, k1, k2, embedding, n (vectors), least (smallest vec_id). Two 64-bit hashes stand for a
+    vector, so that no vector is a key. Rows whose vector or label is null, or whose vector is empty, zero or has
+    null or non-finite components, can't link.
     """
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    rows = keyed(vectors)
     rows = rows.where(F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda v: v != 0), F.lit(False)))
-    grouped = rows.groupBy("label", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"))
+    grouped = rows.groupBy("label", "k1", "k2").agg(F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding"))
     return rows, save(grouped.withColumn("dim", F.size("embedding")).withColumn("cid", F.monotonically_increasing_id()))
 
 
@@ -219,17 +226,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int
 
     Vectors link if their labels are equal and their cosine in double precision is at least the threshold. Copies are
     compared once and counted by their number. A row that can't link (see classes_of) has no links
-    and is its own component. Vectors of different dimensions don't link. A null vec_id never is a component_id while another is there.
+    and is its own component. Vectors of different dimensions don't link; repeated rows are copies. An empty table gives none. A null vec_id never is a component_id while another is there.
     """
     rows, classes = classes_of(vectors)
     found = save(link(classes, threshold, block))
     links = found.groupBy(F.col("a").alias("lc")).agg(F.sum("links").alias("links"))
     roots = components(found.select("a", "b"))
     known = classes.join(roots, classes.cid == roots.node, "left").withColumn("root", F.coalesce("root", "cid")).drop("node")
-    known = save(known.join(links, known.cid == links.lc, "left").select("label", "embedding", "least", "root", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    known = save(known.join(links, known.cid == links.lc, "left").select("label", "k1", "k2", "least", "root", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
     smallest = known.groupBy(F.col("root").alias("r")).agg(F.min("least").alias("component_id"))
-    known = known.join(smallest, known.root == smallest.r).select(F.col("label").alias("kl"), F.col("embedding").alias("ke"), "n_links", "component_id")
-    all_rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
-    out = all_rows.join(known, (all_rows.label == known.kl) & (all_rows.embedding == known.ke), "left")
+    known = known.join(smallest, known.root == smallest.r).select(F.col("label").alias("kl"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), "n_links", "component_id")
+    all_rows = keyed(vectors).drop("embedding")
+    out = all_rows.join(known, (all_rows.label == known.kl) & (all_rows.k1 == known.c1) & (all_rows.k2 == known.c2), "left")
     component = F.when(F.col("kl").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
