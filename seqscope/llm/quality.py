@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import by_size, text_of
 
-#: At most so many labelled documents, each of at most so many characters, fit the model.
-FIT_ROWS, FIT_CHARS = 4000, 100_000
+#: At most so many labelled documents, of at most so many characters together, fit the model.
+FIT_ROWS, FIT_CHARS = 4000, 32_000_000
 THRESHOLD = 0.7
 #: Lines that are padded into one block of chains, at most (a longer chain is a block of its own).
 BLOCK_LINES = 1 << 16
@@ -254,16 +254,29 @@ def held_out(id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
-    """A model fitted on at most `rows` labelled documents that aren't held out, of at most `chars` characters each.
+    """A model fitted on at most `rows` labelled documents that aren't held out, of at most `chars` characters together.
 
     The labels with the smallest hashes of their ids are taken, so a rerun takes the same ones, and only
-    they are broadcast (rows is their bound): no text is shuffled. Labels that are null or whose document is missing aren't used.
+    they are broadcast (rows is their bound): no text is shuffled. In the order of these hashes, documents are taken as long as
+    their characters stay within `chars`; one that alone is too long for what is left is passed over, and of a document
+    whose id comes twice all rows count. Labels that are null or whose document is missing aren't used.
     """
     known = labels.where(~held_out() & F.col("quality").isNotNull()).select(F.col("doc_id").alias("__id"), "quality")
     chosen = known.orderBy(F.xxhash64("__id"), "quality").limit(rows)
-    texts = docs.where(F.length("text") <= chars).select("doc_id", "text")
-    joined = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("doc_id", text_of("text").alias("text"), "quality")
-    sample = joined.orderBy(F.xxhash64("doc_id"), F.xxhash64("text"), "quality").limit(rows).toPandas()
+    own = docs.select("doc_id", F.xxhash64("text").alias("__h"), F.coalesce(F.length("text"), F.lit(0)).alias("__n"), text_of("text").alias("text"))
+    joined = own.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id"))
+    sizes = joined.select("doc_id", "__h", "quality", "__n").orderBy(F.xxhash64("doc_id"), "__h", "quality").limit(rows).collect()
+    left, ids = chars, set()
+    for r in sizes:
+        if r["__n"] <= left:
+            left -= r["__n"]
+            ids.add((r["doc_id"], r["__h"], r["quality"]))
+    if not ids:
+        return fit([], np.zeros(0))
+    taken = docs.sparkSession.createDataFrame(sorted(ids), "__id long, __t long, quality int")
+    texts = own.join(F.broadcast(taken), (F.col("doc_id") == F.col("__id")) & (F.col("__h") == F.col("__t")))
+    sample = texts.select("doc_id", "__h", "text", "quality").dropDuplicates(["doc_id", "__h", "quality"]).toPandas()
+    sample = sample.sort_values(["doc_id", "__h", "quality"])
     return fit(sample["text"].tolist(), (sample["quality"].to_numpy() == 1).astype(float))
 
 
@@ -288,7 +301,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose documents are predicted good, with the columns of docs."""
+    """The rows of docs whose documents are predicted good, with the columns of docs.
+
+    A null or empty text has the prior's score, the share of good documents in the fit, and stays or
+    goes by that; equal rows stay or go together; an empty table gives none.
+    """
     model = train(docs, labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
