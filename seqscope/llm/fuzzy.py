@@ -26,7 +26,7 @@ ROLL, PIECE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x6A09E667F3BCC909)
 #: Letters that likenesses must have in common in a row.
 RUN = 7
 #: Rows of a bucket of neighbouring documents, about, and the largest number of buckets of ids.
-BUCKET_ROWS, BUCKETS = 4_000, 10_000
+BUCKET_ROWS, BUCKETS = 4_000, 100_000
 _powers = np.ones(1, np.uint64)
 
 
@@ -200,7 +200,8 @@ def in_order(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"), F.xxhash64(text_of("text")).alias("h"))
     dealt = rows.mapInArrow(deal, "doc_id long, text string, h long, bucket long, head boolean")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "head", "doc_id", "h")
+    # As many partitions as buckets, so that a task's texts don't grow with the table.
+    return dealt.repartition(max(1, len(least)), "bucket").sortWithinPartitions("bucket", "head", "doc_id", "h")
 
 
 def fingerprints(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
