@@ -10,22 +10,27 @@ from .common import table
 
 
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all embeddings. Vectors that can't be compared (null, zero, not finite) or have no label link with nothing; copies link; an empty table gives no row."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents. A null text counts as empty; equal rows give equal rows; an empty table gives no row."""
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of all documents. A null text counts as empty; equal rows give equal rows; an empty table gives no row."""
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents. A null or empty text is one piece, the end's id; equal rows are pieces of their own; an empty table gives no row."""
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents. A null or empty text has the prior's score; equal rows give equal rows; an empty table gives no row."""
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     rows = docs.select("doc_id", "text", quality.held_out().alias("held_out"))
@@ -33,23 +38,28 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages. A null html counts as empty and gives an empty text; equal rows give equal rows; an empty table gives no row."""
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of all pages, written and read. A null html counts as empty; rows equal in all are all responses; an empty table gives no row."""
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints and components of all documents. Texts without words have fingerprint zero; equal rows give equal rows; an empty table gives no row."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of all documents. Null or empty texts have size 0 and are taken 0 times; equal rows are documents of their own; an empty table gives no row."""
     per_doc, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return per_doc.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), "taken")
 
 
 def op10_fuzzy_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and of their edited texts. A null text counts as empty; ties of doc_id go by the text's hash; an empty table gives no row."""
     return fuzzy.fingerprints(table(spark, sf_dir, "documents"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seqscope.llm import embeddings, fuzzy, html_text, mixing, packing, pretoken, quality, secrets, simhash, tokens, warc
+from seqscope.llm import queries as llm_queries
 from seqscope.llm.common import components, shared_dir
 
 ODD = [None, "", " ", "\n\t ", "a", "it's we'll I'Ve 've''s", "one two three", "<|endoftext|>", "x<|endoftext|> y", "日本語 テキスト é", "a" * 3000, "password=abc token: Xy12345678 k", "tie tie", "tie tie", " x　y"]
@@ -488,6 +489,37 @@ def test_similar(spark, docs, empty, monkeypatch, block):
     assert simhash.drop_near_duplicates(empty).count() == 0
 
 
+def test_large_blocks_of_near_copies(spark, monkeypatch):
+    """Copies that each differ from a common text meet pivots; only those that no pivot joins are compared part against part."""
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", 2000)
+    rng = np.random.default_rng(7)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 104)]
+    texts = []
+    for edits in [0, 1, 1, 1, 1, 2, 2, 3, 4, 5] * 12:
+        own = list(base)
+        for k in rng.choice(104, edits, replace=False):
+            own[k] = f"e{rng.integers(0, 1 << 40)}"
+        texts.append(" ".join(own))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [brute_shingles(t) for t in texts]
+    left, want = set(range(len(texts))), set()
+    while left:
+        todo = [min(left)]
+        want.add(todo[0])
+        left -= set(todo)
+        while todo:
+            x = todo.pop()
+            close = {y for y in left if 10 * len(sets[x] & sets[y]) >= 8 * len(sets[x] | sets[y])}
+            left -= close
+            todo += close
+    assert {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == want
+    members = spark.createDataFrame([(1, i, 100, 6) for i in range(1, 101)], "leader long, node long, size long, parts long")
+    found = spark.createDataFrame([(i, p.pivot) for p in simhash.pivots_of(members).collect() for i in range(1, 91) if i != p.pivot], "a long, b long")
+    rest = simhash.rest_of(members, found).collect()
+    assert not any(r.x["class"] == r.y["class"] != 0 for r in rest)
+    assert {r.node for r in rest if r["class"] == 0} == set(range(91, 101)) - {p.pivot for p in simhash.pivots_of(members).collect()}
+
+
 def test_pipeline_takes_near_copies_at_four_fifths(spark):
     """Pairs at 0.82 in five words all lose one document; documents with a much repeated line in common lose none."""
     rng = np.random.default_rng(6)
@@ -738,3 +770,76 @@ def test_pipeline(spark, sf_dir):
     assert out.select("doc_id").distinct().count() == before.select("doc_id").distinct().count()
     assert corpus_pipeline.run(spark, sf_dir).count() == out.count()
     assert [c for c in corpus_pipeline.run(spark, sf_dir).columns] == out.columns
+
+
+# Odd tables: nulls, empty and very long texts, ties and repeated rows, clashing columns, empty tables
+
+
+LONG = "The quick brown token=abcdef12 fox's 0123456789abcdef0123456789 jumps, over 12 lazy dogs. Über straße 日本\n"
+
+
+@pytest.fixture(scope="module")
+def odd_dir(spark, tmp_path_factory):
+    """Tables of odd rows, a megabyte of text and of html among them, as a folder of Parquet files."""
+    folder = str(tmp_path_factory.mktemp("odd"))
+    long_text = LONG * 3_000
+    texts = [None, "", "  \n", "a", "same text here", "same text here", long_text, "x" * 50_000, "日本" * 10_000, "password=abcdef " * 3000, *(f"Clean prose number {i} has a few words and ends well." for i in range(30))]
+    rows = [(i if i != 3 else None, t, "en", [None, "s1", "s2"][i % 3], None) for i, t in enumerate(texts)]
+    rows += [rows[4], rows[4], rows[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = {c: F.lit("c") for c in ("content", "spans", "score", "predicted", "node", "fp", "root", "component_id", "size", "target", "taken", "s", "at", "h", "bucket", "ids")}
+    docs.withColumns(clash).coalesce(2).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, int(i > 8), 0) for i in range(40) if i % 5] + [(7, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    pages = [(1, "u", None), (2, "u", ""), (3, None, "<p>One.</p>"), (3, None, "<p>One.</p>"), (4, "v", "<article><p>" + LONG * 3000 + "</p></article>"), (5, "w", "<div>" * 20_000), (6, "w", "<a " * 100_000), (None, "x", "<p>One.</p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit("c") for c in ("text", "n_chars", "payload_bytes", "hex", "record_type", "refers_to", "payload")}).write.parquet(f"{folder}/pages.parquet")
+    vectors = [(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, None, 1), (None, [0.0, 1.0], 2), (4, [0.0, 0.0], 2), (5, [0.0, 1.0], None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit("c") for c in ("n_links", "cid", "dim", "k1", "cell")}).write.parquet(f"{folder}/embeddings.parquet")
+    return folder
+
+
+@pytest.fixture(scope="module")
+def empty_dir(spark, odd_dir, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("empty"))
+    for t in ("documents", "labels", "pages", "embeddings"):
+        spark.read.parquet(f"{odd_dir}/{t}.parquet").limit(0).write.parquet(f"{folder}/{t}.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", sorted(llm_queries.QUERIES))
+def test_odd_tables(spark, odd_dir, empty_dir, name):
+    table = {"op1": "embeddings", "op6": "pages", "op7": "pages"}.get(name.split("_")[0], "documents")
+    key = {"embeddings": "vec_id", "pages": "page_id", "documents": "doc_id"}[table]
+    want = Counter(r[0] for r in spark.read.parquet(f"{odd_dir}/{table}.parquet").select(key).collect())
+    got = llm_queries.QUERIES[name](spark, odd_dir).toPandas()
+    got = got[got["piece"] == 0] if "piece" in got else got
+    assert Counter(None if v != v else int(v) for v in got[key].astype(float)) == want
+    out = llm_queries.QUERIES[name](spark, empty_dir)
+    assert out.count() == 0
+    assert set(out.columns) >= {key}
+
+
+def test_odd_texts_count_as_the_library_counts(spark, odd_dir):
+    t = library()
+    want = {(r.doc_id, len(t.encode(r.text or "", add_special_tokens=False).ids)) for r in spark.read.parquet(f"{odd_dir}/documents.parquet").collect()}
+    assert {(r.doc_id, r.n_tokens) for r in llm_queries.op3_token_counts(spark, odd_dir).collect()} == want
+
+
+def test_pipeline_on_odd_tables(spark, odd_dir, empty_dir):
+    docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, odd_dir).columns == docs.columns
+        assert stage(spark, docs.limit(0), odd_dir).count() == 0
+    ids = {r.doc_id for r in corpus_pipeline.run(spark, odd_dir).select("doc_id").distinct().collect()}
+    assert ids and ids <= {r.doc_id for r in docs.collect()}
+    assert corpus_pipeline.run(spark, empty_dir).count() == 0
+
+
+def test_fit_takes_documents_within_its_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "x" * n) for i, n in enumerate([10, 500, 20, 30, 40, 400])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda texts, y: seen.append(texts))
+    quality.train(docs, labels, chars=10_000)
+    quality.train(docs, labels, chars=100)
+    assert sum(map(len, seen[1])) <= 100 < sum(map(len, seen[0]))
+    assert set(seen[1]) < set(seen[0])
