@@ -154,6 +154,26 @@ def ngram_mask(logits: Column, tokens: Column, ngram: Column) -> Column:
     return F.when(hit, F.concat(F.slice(q, F.lit(1), last), F.array(F.lit(float("-inf"))), F.slice(q, last + 2, F.size(q)))).otherwise(q)
 
 
+def sampled(logits: Column, u: Column, temperature: float = 1.0) -> Column:
+    """The token (0-based) at a uniform number u of [0, 1) in the distribution of the softmax of logits over the temperature.
+
+    One pass for the largest logit, one for the sum and one for the place; a sum that rounding leaves below u gives the last token.
+    """
+    scaled = F.transform(logits.cast("array<double>"), lambda x: x / max(temperature, 1e-6))
+    weights = lambda top: F.transform(scaled, lambda x: F.exp(x - top))
+
+    def place(w: Column) -> Column:
+        def walk(goal: Column) -> Column:
+            # i counts the tokens whose running sum isn't beyond the goal.
+            step = lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["i"] + F.when(s["sum"] + x > goal, 0).otherwise(1)).alias("i"))
+            return F.aggregate(w, F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("i")), step)["i"]
+
+        total = F.aggregate(w, F.lit(0.0), lambda s, x: s + x)
+        return F.least(bound(u * total, walk), F.size(w) - 1)
+
+    return bound(F.array_max(scaled), lambda top: bound(weights(top), place))
+
+
 def greedy(logits: Column) -> Column:
     """The first token with the largest logit."""
     return (F.array_position(logits, F.array_max(logits)) - 1).cast("int")

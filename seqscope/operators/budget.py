@@ -129,3 +129,24 @@ def matched_accounts(rows: DataFrame, revision: int) -> DataFrame:
     out = rows.withColumn("primary_tokens_generated", first).withColumn("extra_decode_tokens", extra).withColumn("decode_token_events_total", F.col("primary_tokens_generated") + F.col("extra_decode_tokens"))
     final = F.when(restart & (F.col("extra_decode_tokens") > 0), F.col("extra_decode_tokens")).otherwise(F.col("decode_token_events_total"))
     return out.withColumn("final_tokens_generated", final).withColumn("exhausted", (first < F.col("first_tokens")) | (extra < wanted))
+
+
+def scheduled_accounts(runs: DataFrame, max_new_tokens: int) -> DataFrame:
+    """runs (run_id, schedule: array<struct<trigger_at, rollback_tokens>>) with sampled, deleted, emitted and rollbacks.
+
+    Without a detector the events of a run follow from its schedule alone: each fires at the first token at
+    or after its trigger, at most one a token, and drops the tail. So the accounts are a fold over the schedule.
+    """
+    start = F.struct(*[F.lit(0).cast("long").alias(k) for k in ("length", "sampled", "deleted", "rollbacks")])
+
+    def step(s: Column, e: Column) -> Column:
+        at = F.greatest(e["trigger_at"], s["length"] + 1)
+        drop = F.least(at, F.greatest(F.lit(1).cast("long"), e["rollback_tokens"]))
+        sampled = s["sampled"] + at - s["length"]
+        fires = sampled <= max_new_tokens
+        done = F.struct((at - drop).alias("length"), sampled.alias("sampled"), (s["deleted"] + drop).alias("deleted"), (s["rollbacks"] + 1).alias("rollbacks"))
+        return F.when(fires, done).otherwise(s)
+
+    folded = F.aggregate(F.array_sort("schedule"), start, step)
+    out = runs.select("run_id", folded.alias("f"))
+    return out.select("run_id", F.lit(max_new_tokens).cast("long").alias("sampled"), "f.deleted", (F.lit(max_new_tokens) - F.col("f.deleted")).alias("emitted"), "f.rollbacks")

@@ -122,3 +122,11 @@ def normalized_runs(runs: DataFrame) -> DataFrame:
     own = F.col("p_values") if "p_values" in runs.columns else F.lit(None).cast("array<double>")
     other: Column = F.transform("windows", lambda w: w["p_value"]) if "windows" in runs.columns else F.lit(None).cast("array<double>")
     return runs.select("run_id", F.posexplode(F.filter(F.coalesce(own, other), lambda p: p.isNotNull())).alias("window_index", "p_value"))
+
+
+def calibrated(windows: DataFrame, target: float = DetectorConfig.target_rate, detector: DetectorConfig | None = None, buckets: Sequence[tuple[int, int | None]] = BUCKETS) -> tuple[DataFrame, DataFrame]:
+    """(p-values, threshold) of scored windows (run_id, window_index, end_pos, score) that are their own reference."""
+    d = detector or DetectorConfig()
+    marked = windows.withColumn("__mine", F.lit(True))
+    ps = tail_pvalues(marked, "__mine", buckets, d.p_clip, bare=[]).drop("__mine")
+    return ps, select_threshold(threshold_grid(largest_statistic(ps, d)), target)

@@ -102,7 +102,8 @@ def above(windows: DataFrame, threshold: float) -> DataFrame:
 def random_trigger(rows: DataFrame, key: Sequence[str], probability: float, seed: int = 0) -> DataFrame:
     """rows with fired, by a uniform number of the row's key: the same wherever and whenever it is computed."""
     p = min(1.0, max(0.0, probability))
-    u = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 53)) / float(1 << 53)
+    digest = F.sha2(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]), 256)
+    u = F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
     return rows.withColumn("fired", u < p)
 
 
@@ -126,6 +127,29 @@ def forced_schedule(windows: DataFrame, schedule: DataFrame) -> DataFrame:
     return out.where("window_index <= __last").drop("__at", "__kind", "__w", "__first", "__last", "__n")
 
 
+def decisions(alarms: DataFrame, config: BacktrackConfig | None = None, prompt_len: int = 0) -> DataFrame:
+    """alarms (run_id, token_pos, rollback_pos, length) with reroll, refused, cut and span: what the controller does about each.
+
+    The first max_rerolls alarms of a run are rolled back, later ones are refused. A fixed rollback goes back from the alarm's
+    token; either is kept between the prompt's end and the run's length.
+    """
+    b = config or BacktrackConfig()
+    at = F.row_number().over(Window.partitionBy("run_id").orderBy("token_pos"))
+    goal = F.col("rollback_pos") if b.fixed_rollback is None else F.col("token_pos") - b.fixed_rollback
+    cut = F.least(F.greatest(F.lit(prompt_len), goal), F.col("length"))
+    out = alarms.withColumn("__n", at).withColumn("refused", F.col("__n") > b.max_rerolls).withColumn("reroll", F.least("__n", F.lit(b.max_rerolls))).drop("__n")
+    return out.withColumn("cut", F.when(~F.col("refused"), cut)).withColumn("span", F.when(~F.col("refused"), F.col("length") - F.col("cut")))
+
+
+def redecoded(tokens: DataFrame, backtracks: DataFrame, config: BacktrackConfig | None = None, base: float = 1.0) -> DataFrame:
+    """tokens (run_id, step) with temperature and penalty: from a run's first backtrack (run_id, step) on, those of redecoding."""
+    b = config or BacktrackConfig()
+    first = backtracks.groupBy(F.col("run_id").alias("__r")).agg(F.min("step").alias("__first"))
+    after = F.col("__first").isNotNull() & (F.col("step") > F.col("__first"))
+    out = tokens.join(first, F.col("run_id") == F.col("__r"), "left")
+    return out.withColumn("temperature", F.when(after, b.temperature).otherwise(base)).withColumn("penalty", F.when(after, b.repetition_penalty).otherwise(1.0)).drop("__r", "__first")
+
+
 @dataclass
 class Detector:
     """The detector's state for one run: statistic, histories since the last reset, refractory windows left."""

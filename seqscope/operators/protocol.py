@@ -120,10 +120,28 @@ def select_ids(rows: DataFrame, id: str, include: DataFrame | None = None, exclu
     return out if limit is None else out.orderBy(id).limit(max(0, limit))
 
 
-def ids_digest(rows: DataFrame, id: str) -> DataFrame:
-    """One row ids, ids_sha256: a hash of the sorted different ids, each on a line, for lists that fit in one value."""
-    ids = F.array_sort(F.collect_set(F.col(id).cast("string")))
-    return rows.agg(F.size(ids).cast("long").alias("ids"), F.sha2(F.concat(F.array_join(ids, "\n"), F.lit("\n")), 256).alias("ids_sha256"))
+#: Ids that one value may hold.
+MOST_IDS = 20_000_000
+
+
+def ids_digest(rows: DataFrame, id: str, most: int = MOST_IDS) -> DataFrame:
+    """One row ids, ids_sha256: a hash of the sorted different ids, each on a line; an error for over `most` ids.
+
+    The hash is of one text, so the ids must fit in one value; see ids_digests for any number of them.
+    """
+    different = rows.select(F.col(id).cast("string").alias("id")).where("id is not null").distinct()
+    if (n := different.count()) > most:
+        raise ValueError(f"{n} ids are too many for one digest")
+    ids = F.array_sort(F.collect_list("id"))
+    return different.agg(F.size(ids).cast("long").alias("ids"), F.sha2(F.concat(F.array_join(ids, "\n"), F.lit("\n")), 256).alias("ids_sha256"))
+
+
+def ids_digests(rows: DataFrame, id: str, digits: int = 3) -> DataFrame:
+    """One row ids, ids_sha256 for any number of ids: a hash of the hashes of 16 ** digits buckets of ids, each sorted within itself."""
+    key = F.col(id).cast("string")
+    different = rows.select(key.alias("id")).where("id is not null").distinct().withColumn("bucket", F.substring(F.sha2("id", 256), 1, digits))
+    parts = different.groupBy("bucket").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "\n"), 256).alias("h"))
+    return parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("ids"), F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "bucket", "h"))), "\n"), 256).alias("ids_sha256"))
 
 
 def missing(rows: DataFrame, known: DataFrame, id: str) -> DataFrame:
@@ -131,6 +149,21 @@ def missing(rows: DataFrame, known: DataFrame, id: str) -> DataFrame:
     return rows.select(id).distinct().join(known.select(id), id, "left_anti")
 
 
+def once(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """rows, of which none may have the key of another: an error names one that has."""
+    n = Window.partitionBy(*key).orderBy(*key)
+    checked = rows.withColumn("__n", F.row_number().over(n))
+    fail = F.raise_error(F.concat_ws(" ", F.lit("duplicate unit"), *[F.col(k).cast("string") for k in key])).cast("boolean")
+    return checked.where(F.when(F.col("__n") > 1, fail).otherwise(F.lit(True))).drop("__n")
+
+
+def first_mismatches(left: DataFrame, right: DataFrame, key: str, column: str, most: int = 10) -> DataFrame:
+    """(key): the first units, by key, that both sides have and whose column differs."""
+    a = once(left, [key]).select(key, F.col(column).alias("__a"))
+    b = once(right, [key]).select(F.col(key).alias("__k"), F.col(column).alias("__b"))
+    return a.join(b, F.col(key) == F.col("__k")).where(~F.col("__a").eqNullSafe(F.col("__b"))).select(key).orderBy(key).limit(most)
+
+
 def reproducibility(left: DataFrame, right: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """One row: units, those of one side only, and for each column how many units agree (nulls agree with nulls)."""
     a = left.select(F.col(key).alias("__k"), F.lit(True).alias("__a"), *[F.col(c).alias(f"__a_{c}") for c in columns])

@@ -133,6 +133,16 @@ def truncated(tokens: DataFrame, cut) -> DataFrame:
     return tokens.where(F.col("pos") < cut)
 
 
+def truncated_monitors(runs: DataFrame, size: int = 64, stride: int = 32) -> DataFrame:
+    """runs (run_id, n_tokens, cut) with tokens, windows and next_start that a monitor has after it is truncated.
+
+    Windows that end beyond the cut go; the next one starts at 0 if there aren't tokens for one, else after those that stay.
+    """
+    kept = F.least("n_tokens", "cut")
+    windows = F.when(kept >= size, F.floor((kept - size) / stride) + 1).otherwise(F.lit(0)).cast("long")
+    return runs.withColumn("tokens", kept).withColumn("windows", windows).withColumn("next_start", F.when(kept < size, F.lit(0).cast("long")).otherwise(windows * stride))
+
+
 def window_means(tokens: DataFrame, size: int = 64, stride: int = 32) -> DataFrame:
     """(run_id, window_index, start_pos, end_pos, mean_entropy, mean_logprob, prefix_entropy) of full windows.
 
@@ -157,7 +167,7 @@ def window_features(tokens: DataFrame, config: WindowConfig | None = None, promp
     """
     w = config or WindowConfig()
     rows = _grams(tokens, w.ngram_min, w.ngram_max, False, True)
-    if prompt is not None:
+    if prompt is not None and w.exclude_prompt_ngrams:
         rows = without_prompt(rows, ngrams(prompt.withColumn("logprob", F.lit(0.0)), w.ngram_min, w.ngram_max))
     spread = repeats(rows).withColumn("window_index", F.explode(_windows_of(F.col("start_pos"), F.col("end_pos"), w.size, w.stride)))
     token, gram = F.col("n") == 0, F.col("n") > 0

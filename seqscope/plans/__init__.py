@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import detection
-from . import protocols, sequences
+from . import protocols, sequences, stores
 from .registry import QUERIES, SQL, rounded
 
-__all__ = ["FLAGSHIP_SQL", "QUERIES", "SQL", "flagship", "protocols"]
+__all__ = ["FLAGSHIP_SQL", "QUERIES", "SQL", "flagship", "protocols", "stores"]
 
 FLAGSHIP_SQL = f"""WITH {sequences._CP} SELECT run_id, window_index, changepoint, 32 * window_index + 64 AS token_pos, 32 * changepoint AS rollback_token_pos, round(loge, 6) AS loge FROM cps JOIN stats USING (run_id, window_index)"""
 

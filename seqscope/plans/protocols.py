@@ -10,7 +10,9 @@ from ..functions import columns as C
 from ..functions import udfs
 from ..operators import budget, candidates, protocol, stats
 from ..sources import jsonl, store
+from ..sources.scratch import new_folder
 from ..streaming import monitor
+from . import sequences
 from .registry import query, rounded, table
 
 SEED = protocol.SEED
@@ -39,7 +41,7 @@ def p01_normalize_hash(spark, sf_dir):
     return items_of(spark, sf_dir).select("doc_id", "content_sha256")
 
 
-@query()
+@query("SELECT doc_id, sha256(trim(regexp_replace(nfc_normalize(text), '[ \\t\\n\\r\\f]+', ' ', 'g'))) AS content_sha256 FROM documents")
 def p01_normalize_nfkc(spark, sf_dir):
     return items_of(spark, sf_dir, ascii_only=False).select("doc_id", "content_sha256")
 
@@ -98,12 +100,16 @@ def p10_role_split(spark, sf_dir):
     return manifest_of(spark, sf_dir).select("doc_id", "role")
 
 
-@query(f"WITH {ITEMS}, n AS (SELECT doc_id, row_number() OVER (ORDER BY selection_key, item_id) AS rank FROM firsts) SELECT count(*) AS grown, 0::BIGINT AS mismatches FROM n WHERE rank <= 300")
+_RANKED = "n AS (SELECT doc_id, content_sha256, row_number() OVER (ORDER BY selection_key, item_id) AS rank FROM firsts), m AS (SELECT doc_id, content_sha256, row_number() OVER (ORDER BY selection_key, item_id) AS rank FROM firsts WHERE doc_id % 9 <> 4)"
+
+
+@query(f"WITH {ITEMS}, {_RANKED} SELECT (SELECT count(*) FROM n WHERE rank <= 300) AS grown, (SELECT count(*) FROM n o WHERE rank <= 200 AND NOT EXISTS (SELECT 1 FROM n x WHERE x.rank = o.rank AND x.rank <= 300 AND x.doc_id = o.doc_id)) AS mismatches, (SELECT count(*) FROM n o LEFT JOIN (SELECT * FROM m WHERE rank <= 300) x USING (rank) WHERE o.rank <= 200 AND (x.doc_id IS DISTINCT FROM o.doc_id OR x.content_sha256 IS DISTINCT FROM o.content_sha256)) AS after_loss")
 def p11_derive_prefix(spark, sf_dir):
+    """A selection that only grew has no mismatches; one whose source lost rows has."""
     f = firsts_of(spark, sf_dir)
-    old, new = protocol.ranked(f, 200), protocol.ranked(f, 300)
-    bad = protocol.prefix_mismatches(old, new, ["doc_id", "content_sha256"]).agg(F.count("*").alias("mismatches"))
-    return new.agg(F.count("*").alias("grown")).crossJoin(bad)
+    old, new, less = protocol.ranked(f, 200), protocol.ranked(f, 300), protocol.ranked(f.where("doc_id % 9 <> 4"), 300)
+    bad = [protocol.prefix_mismatches(old, x, ["doc_id", "content_sha256"]).agg(F.count("*").alias(n)) for x, n in ((new, "mismatches"), (less, "after_loss"))]
+    return new.agg(F.count("*").alias("grown")).crossJoin(bad[0]).crossJoin(bad[1])  # a row each
 
 
 _LEAK = f"{ITEMS}, b AS (SELECT sha256(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'))) AS content_sha256 FROM benchmark), both_roles AS (SELECT content_sha256, 'train' AS role FROM items UNION ALL SELECT content_sha256, 'test' AS role FROM b)"
@@ -154,12 +160,17 @@ def p17_ids_digest(spark, sf_dir):
     return protocol.ids_digest(table(spark, sf_dir, "labels"), "doc_id")
 
 
+@query("WITH i AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM documents), p AS (SELECT substr(sha256(id), 1, 3) AS b, count(*) AS n, sha256(string_agg(id, chr(10) ORDER BY id)) AS h FROM i GROUP BY 1) SELECT CAST(sum(n) AS BIGINT) AS ids, sha256(string_agg(b || ':' || h, chr(10) ORDER BY b || ':' || h)) AS ids_sha256 FROM p")
+def p17_ids_digests(spark, sf_dir):
+    return protocol.ids_digests(table(spark, sf_dir, "documents"), "doc_id")
+
+
 @query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def p18_missing(spark, sf_dir):
     return protocol.missing(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
 
 
-@query()
+@query("SELECT doc_id, sha256('{\"doc_id\":' || doc_id || ',\"quality\":' || coalesce(CAST(quality AS VARCHAR), 'null') || ',\"toxic\":' || coalesce(CAST(toxic AS VARCHAR), 'null') || '}') AS sha256 FROM labels")
 def p19_canonical_json_sha(spark, sf_dir):
     rows = table(spark, sf_dir, "labels")
     return rows.select("doc_id", udfs.canonical_json_sha(F.struct("doc_id", "quality", "toxic")).alias("sha256"))
@@ -179,6 +190,14 @@ def p25_repro_compare(spark, sf_dir):
     return protocol.reproducibility(o, other, "o_orderkey", ["o_custkey", "o_totalprice"])
 
 
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 3 = 0 ORDER BY 1 LIMIT 10")
+def p25_first_mismatches(spark, sf_dir):
+    """The first ten units, a report's limit, that two runs disagree on."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    other = o.where("o_orderkey % 7 <> 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return protocol.first_mismatches(o, other, "o_orderkey", "o_totalprice")
+
+
 def _answers(spark, sf_dir):
     n = F.col("l_quantity").cast("long").cast("string")
     form = F.when(F.col("l_orderkey") % 5 == 0, "none").when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("1,"), F.lpad(n, 3, "0"))).otherwise(F.concat(n, F.lit(".50")))
@@ -510,7 +529,11 @@ def s05_first_source_seed(spark, sf_dir):
 
 @query("SELECT DISTINCT CAST(doc_id AS VARCHAR) AS id FROM labels")
 def s04_id_set(spark, sf_dir):
-    return table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id")).distinct()
+    """The ids of two files of JSON lines."""
+    rows, folders = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("id"), "quality"), [new_folder(spark), new_folder(spark)]
+    for i, folder in enumerate(folders):
+        rows.where(f"quality = {i}").unionByName(rows.where("quality = 1")).write.json(folder)
+    return jsonl.ids(spark, folders)
 
 
 _CANDS = "c AS (SELECT conv_id AS item_id, turn AS candidate, CASE WHEN length(text) % 4 = 0 THEN NULL ELSE role || (length(text) % 3) END AS answer, CASE WHEN length(text) % 5 = 0 THEN NULL ELSE -(length(text) % 17) END AS lp, length(text) AS n FROM conversations)"
@@ -571,15 +594,23 @@ def k04_resume_pending(spark, sf_dir):
     return store.pending(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id")), table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id")))
 
 
-@query("SELECT id, CASE id % 10 WHEN 0 THEN 'Solve step by step: what is ' || a || ' + ' || b || '?' WHEN 1 THEN 'Compute ' || a || ' * ' || b || ' - ' || c || ' and explain each step.' WHEN 2 THEN 'A box has ' || a || ' pens and ' || b || ' are removed. How many remain?' WHEN 3 THEN 'If x = ' || a || ' and y = ' || b || ', what is x * y + ' || c || '?' WHEN 4 THEN 'Find the remainder of ' || c || ' divided by ' || b || '.' WHEN 5 THEN 'A train runs ' || a || ' km an hour for ' || b || ' hours. How far does it go?' WHEN 6 THEN 'What is the average of ' || a || ', ' || b || ' and ' || c || '?' WHEN 7 THEN 'Write ' || c || ' as a product of primes.' WHEN 8 THEN 'Which is larger, ' || a || ' times ' || b || ' or ' || c || ' times 10?' ELSE 'What is ' || a || ' percent of ' || c || '?' END AS prompt FROM (SELECT i AS id, 12 + (i * 7) % 89 AS a, 3 + (i * 5) % 47 AS b, 20 + (i * 11) % 180 AS c FROM range(100) r(i))")
+_FORMS = ", ".join("'" + f.replace("'", "''") + "'" for f in jsonl.FORMS)
+
+
+@query(f"SELECT 'sample-' || lpad(CAST(i AS VARCHAR), 4, '0') AS id, replace(replace(replace([{_FORMS}][i % 10 + 1], '{{a}}', CAST(12 + (i * 7) % 89 AS VARCHAR)), '{{b}}', CAST(3 + (i * 5) % 47 AS VARCHAR)), '{{c}}', CAST(20 + (i * 11) % 180 AS VARCHAR)) AS prompt FROM range(100) r(i)")
 def k07_prompt_templates(spark, sf_dir):
     return jsonl.sample_prompts(spark, 100)
 
 
-@query("SELECT o_orderkey AS key, o_totalprice::VARCHAR AS expected FROM orders WHERE false")
+@query("""SELECT o_orderkey AS key, CAST(o_orderkey * 3 AS VARCHAR) AS expected, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey ELSE o_orderkey * 3 END AS VARCHAR) END AS actual FROM orders WHERE o_orderkey % 5 = 0 OR o_orderkey % 4 = 0
+    UNION ALL SELECT -1 - o_orderkey, NULL, 'new' FROM orders WHERE o_orderkey % 6 = 0""")
 def p21_environment_differences(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").cast("string").alias("value"))
-    return store.differences(o, o).select("key", "expected")
+    """Two tables of settings that differ: values that changed, that are gone and that are new."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
+    expected = o.select("key", (F.col("key") * 3).cast("string").alias("value"))
+    actual = o.where("key % 5 <> 0").select("key", F.when(F.col("key") % 4 == 0, F.col("key")).otherwise(F.col("key") * 3).cast("string").alias("value"))
+    actual = actual.unionByName(o.where("key % 6 = 0").select((-1 - F.col("key")).alias("key"), F.lit("new").alias("value")))
+    return store.differences(expected, actual).select("key", "expected", "actual")
 
 
 STREAM = Config(window=WindowConfig(size=8, stride=4, ngram_min=2, ngram_max=3), detector=DetectorConfig(threshold=20.0, refractory=1))
@@ -588,7 +619,7 @@ POOLS = {"0-512": [0.1 * i for i in range(40)]}
 
 def stream_tokens(events: DataFrame) -> DataFrame:
     """Events of a user as tokens: the type and value's class is the token, the value its log probability and entropy."""
-    code = F.abs(F.xxhash64("event_type", F.floor(F.col("value") / 20))) % 12
+    code = (F.ascii("event_type") + F.floor(F.abs("value") / 20)) % 12
     return events.select(F.col("user_id").cast("string").alias("run_id"), code.cast("int").alias("token"), (-F.abs("value") / 100).alias("logprob"), (F.abs("value") / 50).alias("entropy"), "event_id")
 
 
@@ -596,10 +627,19 @@ def positioned(tokens: DataFrame) -> DataFrame:
     return tokens.withColumn("pos", (F.row_number().over(Window.partitionBy("run_id").orderBy("event_id")) - 1).cast("long"))
 
 
-@query()
+_LM = """lm AS (SELECT CAST(user_id AS VARCHAR) AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, CAST((ascii(event_type) + CAST(floor(abs(value) / 20) AS BIGINT)) % 12 AS VARCHAR) AS token, -abs(value) / 100 AS logprob, abs(value) / 50 AS entropy FROM events)"""
+_ONLINE = sequences.windows_sql(sequences.repeats_sql(f"{_LM}, grams AS ({' UNION ALL '.join(map(sequences.gram_sql, (2, 3)))})"), 8, 4)
+
+
+@query(f"""WITH {_ONLINE}, pool AS (SELECT 0.1::DOUBLE * i AS x FROM range(40) r(i)),
+    ps AS (SELECT s.*, (1 + count(x)) / 41.0::DOUBLE AS p FROM scored s LEFT JOIN pool ON x >= score GROUP BY ALL),
+    sums AS (SELECT *, sum({sequences.log_mixture_sql("p")}) OVER (PARTITION BY run_id ORDER BY window_index ROWS UNBOUNDED PRECEDING) AS total FROM ps),
+    st AS (SELECT *, total - least(0.0, coalesce(min(total) OVER (PARTITION BY run_id ORDER BY window_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS e FROM sums),
+    c AS (SELECT *, coalesce(max(CASE WHEN e <= 0 THEN window_index END) OVER (PARTITION BY run_id ORDER BY window_index ROWS UNBOUNDED PRECEDING), 0) AS cp FROM st)
+    SELECT run_id, window_index, end_pos, round(score, 6) + 0.0 AS score, round(p, 6) AS p_value, round(e, 6) + 0.0 AS "logE", e >= ln(20) AS alarm, CASE WHEN e >= ln(20) THEN cp END AS changepoint, CASE WHEN e >= ln(20) THEN greatest(0, 4 * cp - 64) END AS rollback_pos FROM c""")
 def g01_stream_monitor(spark, sf_dir):
     """The batch form of the stream (their equality is tested)."""
-    return monitor.monitor_batch(positioned(stream_tokens(table(spark, sf_dir, "events"))), STREAM, POOLS)
+    return rounded(monitor.monitor_batch(positioned(stream_tokens(table(spark, sf_dir, "events"))), STREAM, POOLS))
 
 
 @query()

@@ -28,28 +28,34 @@ LM = f"""{TOK},
     lm AS (SELECT run_id, pos, token, ln(q) AS logprob, entropy FROM prevs JOIN model USING (prev, token) JOIN spread USING (prev))"""
 
 
-def _gram(n: int) -> str:
+def gram_sql(n: int) -> str:
     frame = f"OVER (PARTITION BY run_id ORDER BY pos ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
     return f"SELECT run_id, {n} AS n, pos - {n - 1} AS start_pos, pos + 1 AS end_pos, array_to_string(list(token) {frame}, ' ') AS gram, avg(logprob) {frame} AS mean_logprob FROM lm QUALIFY pos >= {n - 1}"
 
 
 GRAMS = f"""{LM},
-    grams AS ({" UNION ALL ".join(_gram(n) for n in (6, 7, 8))})"""
-REPEATS = f"""{GRAMS},
+    grams AS ({" UNION ALL ".join(gram_sql(n) for n in (6, 7, 8))})"""
+
+
+def repeats_sql(grams: str) -> str:
+    return f"""{grams},
     reps AS (
         SELECT *, row_number() OVER w > 1 AS repeated,
                CASE WHEN row_number() OVER w > 1 THEN greatest(0.0, mean_logprob - avg(mean_logprob) OVER (PARTITION BY run_id, n, gram ORDER BY end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) ELSE 0.0 END AS delta
         FROM grams WINDOW w AS (PARTITION BY run_id, n, gram ORDER BY end_pos)
     )"""
-WINDOWS = f"""{REPEATS},
+
+
+def windows_sql(reps: str, size: int, stride: int) -> str:
+    return f"""{reps},
     rep_windows AS (
         SELECT run_id, window_index, count(*) AS n_ngrams, sum(CAST(repeated AS INT)) AS n_repeats, max(delta) AS confident_loop
-        FROM (SELECT *, unnest(range(greatest(0, CAST(ceil((end_pos - 64) / 32.0) AS BIGINT)), start_pos // 32 + 1)) AS window_index FROM reps) GROUP BY ALL
+        FROM (SELECT *, unnest(range(greatest(0, CAST(ceil((end_pos - {size}) / {stride}.0) AS BIGINT)), start_pos // {stride} + 1)) AS window_index FROM reps) GROUP BY ALL
     ),
     prefixes AS (SELECT *, avg(entropy) OVER (PARTITION BY run_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS prefix FROM lm),
     means AS (
-        SELECT run_id, window_index, 32 * window_index AS start_pos, 32 * window_index + 64 AS end_pos, avg(entropy) AS mean_entropy, avg(logprob) AS mean_logprob, max_by(prefix, pos) AS prefix_entropy
-        FROM (SELECT *, unnest(range(greatest(0, CAST(ceil((pos - 63) / 32.0) AS BIGINT)), pos // 32 + 1)) AS window_index FROM prefixes) GROUP BY run_id, window_index HAVING count(*) = 64
+        SELECT run_id, window_index, {stride} * window_index AS start_pos, {stride} * window_index + {size} AS end_pos, avg(entropy) AS mean_entropy, avg(logprob) AS mean_logprob, max_by(prefix, pos) AS prefix_entropy
+        FROM (SELECT *, unnest(range(greatest(0, CAST(ceil((pos - {size - 1}) / {stride}.0) AS BIGINT)), pos // {stride} + 1)) AS window_index FROM prefixes) GROUP BY run_id, window_index HAVING count(*) = {size}
     ),
     feats AS (
         SELECT m.*, CASE WHEN coalesce(n_ngrams, 0) > 0 THEN n_repeats / n_ngrams ELSE 0.0 END AS repetition_rate, coalesce(confident_loop, 0.0) AS confident_loop,
@@ -61,6 +67,10 @@ WINDOWS = f"""{REPEATS},
         SELECT *, round(CAST(0.15 AS DOUBLE) * mean_entropy + CAST(0.1 AS DOUBLE) * -mean_logprob + CAST(0.2 AS DOUBLE) * repetition_rate + CAST(0.35 AS DOUBLE) * confident_loop + CAST(0.18 AS DOUBLE) * local_pos + CAST(0.02 AS DOUBLE) * local_neg, 9) AS score
         FROM featured
     )"""
+
+
+REPEATS = repeats_sql(GRAMS)
+WINDOWS = windows_sql(REPEATS, 64, 32)
 BUCKET = "CASE WHEN end_pos >= 0 AND end_pos < 512 THEN '0-512' WHEN end_pos >= 512 AND end_pos < 1024 THEN '512-1024' WHEN end_pos >= 1024 AND end_pos < 2048 THEN '1024-2048' WHEN end_pos >= 2048 AND end_pos < 4096 THEN '2048-4096' ELSE '4096-inf' END"
 
 
@@ -431,7 +441,7 @@ def d07_direct_threshold(spark, sf_dir):
     return detection.above(windows_of(spark, sf_dir), 1.0).select("run_id", "window_index")
 
 
-@query()
+@query("SELECT event_id, user_id, CAST(('0x' || substr(sha256('0|' || event_id), 1, 13)) AS BIGINT) / 4503599627370496.0 < 0.05 AS fired FROM events")
 def d08_random_trigger(spark, sf_dir):
     return detection.random_trigger(table(spark, sf_dir, "events").select("event_id", "user_id"), ["event_id"], 0.05)
 

@@ -137,3 +137,27 @@ def guard_calibration(stored: Mapping[str, Any] | None, new: Mapping[str, Any],
     if stored is not None and not replace and udfs.canonical(stored) != udfs.canonical(new):
         raise ValueError("another calibration is stored")
     return new
+
+
+def _digest(pools: DataFrame) -> list[list[Any]]:
+    """(bucket, scores, order-free hash of them) of each pool: a row a bucket."""
+    h = F.sum(F.xxhash64("bucket", "score").cast("decimal(38,0)")).cast("string")
+    rows = pools.groupBy("bucket").agg(F.count("*").alias("n"), h.alias("h")).orderBy("bucket").collect()
+    return [[r["bucket"], r["n"], r["h"]] for r in rows]
+
+
+def save_pools(pools: DataFrame, path: str, clip: float = 1e-6) -> None:
+    """A calibrator: its pools (bucket, score) as Parquet, and beside them a row with their sealed description."""
+    pools.select("bucket", "score").write.parquet(f"{path}/pools")
+    saved = pools.sparkSession.read.parquet(f"{path}/pools")
+    text = udfs.canonical(sealed({"p_clip": clip, "pools": _digest(saved)}, "calibrator_sha256"))
+    pools.sparkSession.createDataFrame([(text,)], "value string").write.text(f"{path}/description")
+
+
+def load_pools(spark: SparkSession, path: str) -> tuple[DataFrame, float]:
+    """The pools and the clip of a saved calibrator, whose description and pools must be those that were saved."""
+    body = unsealed(json.loads(spark.read.text(f"{path}/description").first()[0]), "calibrator_sha256")
+    pools = spark.read.schema("bucket string, score double").parquet(f"{path}/pools")
+    if _digest(pools) != body["pools"]:
+        raise ValueError("the pools aren't those that were saved")
+    return pools, body["p_clip"]

@@ -10,7 +10,6 @@ from __future__ import annotations
 import bisect
 import hashlib
 import math
-from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -70,35 +69,49 @@ class Monitor:
         self._rebuild()
 
     def _rebuild(self) -> None:
-        self.seen: dict[tuple[int, ...], list[float]] = defaultdict(list)
+        w = self.config.window
+        self.seen: dict[tuple[int, ...], tuple[int, float]] = {}
         self.grams: list[tuple[int, int, tuple[int, ...], bool, float]] = []
+        self.entropy = [0.0]  # running sums
+        self.prompt_grams = {self.prompt[i : i + n] for n in range(w.ngram_min, w.ngram_max + 1) for i in range(len(self.prompt) - n + 1)} if w.exclude_prompt_ngrams else set()
         kept, self.tokens = self.tokens, []
         for t in kept:
             self._add(t)
 
     def _add(self, token: Token) -> None:
         self.tokens.append(token)
+        self.entropy.append(self.entropy[-1] + token[2])
         n, w = len(self.tokens), self.config.window
         for size in range(w.ngram_min, w.ngram_max + 1):
             if size > n:
                 break
             own = self.tokens[n - size :]
             gram = tuple(t[0] for t in own)
-            if size <= len(self.prompt) and any(self.prompt[i : i + size] == gram for i in range(len(self.prompt) - size + 1)):
+            if gram in self.prompt_grams:
                 continue
             mean = sum(t[1] for t in own) / size
-            before = self.seen[gram]
-            delta = max(0.0, mean - sum(before) / len(before)) if before else 0.0
-            self.grams.append((n - size, n, gram, bool(before), delta))
-            before.append(mean)
+            count, total = self.seen.get(gram, (0, 0.0))
+            delta = max(0.0, mean - total / count) if count else 0.0
+            self.grams.append((n - size, n, gram, count > 0, delta))
+            self.seen[gram] = count + 1, total + mean
+
+    def within(self, low: int) -> list[tuple[int, int, tuple[int, ...], bool, float]]:
+        """The n-grams that start at low or after, in order; they are in order of their ends, so older ones aren't looked at."""
+        out = []
+        for g in reversed(self.grams):
+            if g[1] <= low:
+                break
+            if g[0] >= low:
+                out.append(g)
+        return out[::-1]
 
     def features(self, low: int) -> dict[str, Any]:
         w = self.config.window
         high = low + w.size
         own = self.tokens[low:high]
-        inside = [g for g in self.grams if g[0] >= low and g[1] <= high]
+        inside = [g for g in self.within(low) if g[1] <= high]
         mean = sum(t[2] for t in own) / w.size
-        prefix = sum(t[2] for t in self.tokens[:high]) / high
+        prefix = self.entropy[high] / high
         ratio = math.log((mean + EPS) / (prefix + EPS))
         out = {
             "window_index": len(self.windows),
@@ -116,7 +129,7 @@ class Monitor:
         return out
 
     def faulty(self, low: int, high: int) -> list[tuple[int, ...]]:
-        found = sorted((g for g in self.grams if g[3] and g[0] >= low and g[1] <= high), key=lambda g: -g[4])
+        found = sorted((g for g in self.within(low) if g[3] and g[1] <= high), key=lambda g: -g[4])
         return list(dict.fromkeys(g[2] for g in found))[: self.config.backtrack.top_ngrams]
 
     def push(self, token: Token, backtrack: bool = True) -> list[dict[str, Any]]:
@@ -215,6 +228,19 @@ def generate_run(run: Any, source: TokenSource, monitor: Monitor, max_new_tokens
     return out, "max_new_tokens"
 
 
+def plain_run(run: Any, source: TokenSource, max_new_tokens: int, temperature: float | None = None, repetition_penalty: float | None = None) -> tuple[list[Token], str]:
+    """The loop without a monitor: all tokens of a run and why it ended. A temperature or penalty holds from the first token on."""
+    given = {"temperature": temperature, "repetition_penalty": repetition_penalty}
+    overrides = {k: v for k, v in given.items() if v is not None}
+    tokens: list[Token] = []
+    for _ in range(max_new_tokens):
+        token = source(run, tokens, overrides, 0)
+        if token is None:
+            return tokens, "eos"
+        tokens.append(token)
+    return tokens, "max_new_tokens"
+
+
 def scheduled_run(run: Any, source: TokenSource, schedule: list[tuple[int, int]], max_new_tokens: int) -> tuple[list[Token], list[tuple[int, int]], int]:
     """The baseline without a detector: at each trigger (tokens kept, tokens to drop) the tail is dropped and drawn
     again, at most one trigger a token. Returns the tokens, the (position, span) of the rollbacks and the tokens sampled."""
