@@ -20,7 +20,7 @@ CAPACITY = 2048
 #: Pre-tokens whose ids a worker keeps; it starts anew beyond.
 CACHE = 200_000
 #: Rows that one window group of the ranks has, about.
-GROUP_ROWS = 100_000
+GROUP_ROWS = 4_000
 
 
 class Encoder:
@@ -148,21 +148,20 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
 def place(pieces_: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces with sequence_id and offset: each takes the planned slot of its rank within its length.
 
-    Only the histogram (capacity entries at most) and the plan reach the driver. Ranks are sums of
-    group counts and ranks within groups, so a length that most pieces have isn't one task's. Equal
-    rows may swap their places. No pieces give no sequences.
+    Only the histogram (capacity entries at most) and the plan reach the driver. Pieces of a length that
+    has more than GROUP_ROWS are ranked in groups, by sums of the groups' counts and ranks within a group, so a length that
+    most pieces have isn't one task's; other lengths are a group each. Equal rows may swap their places. No pieces give no sequences.
     """
-    total = pieces_.count()
-    groups = 8 * max(1, -(-total // GROUP_ROWS))
-    rows = pieces_.withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    counts = save(rows.groupBy("length", "__group").count())
-    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("count")).collect()}
+    histogram = {r[0]: r[1] for r in pieces_.groupBy("length").count().collect()}
     steps = plan(histogram, capacity)
+    groups = pieces_.sparkSession.createDataFrame([(n, -(-k // GROUP_ROWS)) for n, k in histogram.items()], "__l long, __n long")
+    rows = pieces_.join(F.broadcast(groups), F.col("length") == F.col("__l")).withColumn("__group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("__n")))
+    counts = rows.where("__n > 1").groupBy("length", "__group").count()
     past = Window.partitionBy("length").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select(F.col("length").alias("__l"), F.col("__group").alias("__g"), F.coalesce(F.sum("count").over(past), F.lit(0)).alias("__base"))
+    base = counts.select(F.col("length").alias("__bl"), F.col("__group").alias("__bg"), F.coalesce(F.sum("count").over(past), F.lit(0)).alias("__base"))
     within = Window.partitionBy("length", "__group").orderBy("doc_id", "piece", "start", "ids_crc32")
-    ranked = rows.join(base, (rows.length == base["__l"]) & (rows["__group"] == base["__g"]))
-    ranked = ranked.withColumn("__rank", F.col("__base") + F.row_number().over(within) - 1).drop("__l", "__g", "__base", "__group")
+    ranked = rows.join(base, (F.col("length") == F.col("__bl")) & (F.col("__group") == F.col("__bg")), "left")
+    ranked = ranked.withColumn("__rank", F.coalesce("__base", F.lit(0)) + F.row_number().over(within) - 1).drop("__l", "__n", "__bl", "__bg", "__base", "__group")
     order = np.lexsort((steps[:, 1], steps[:, 0]))
     steps = steps[order]
     largest = max(histogram.values(), default=0) + 1

@@ -306,6 +306,26 @@ def test_quality(spark, docs, rows, empty):
     assert {r.score for r in quality.score(docs, nothing).collect()} == {0.5}
 
 
+def test_scores_line_by_line(spark, sf_dir):
+    """A text's score from sums over all labellings of its lines."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = quality.train(docs, spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), rows=200)
+    texts = ["One good line of prose.", "One.\n\nBUY NOW!!! $$$ CLICK\n  \nThe third line ends well, it seems.", "a\nb\nc\nd\ne", "", " \n"]
+    for text, got in zip(texts, model.scores(texts), strict=True):
+        own, lengths, owner = quality.lines_of([text])
+        n, share = len(own), model.prior
+        if n:
+            emit = ((quality.with_neighbours(own, owner) - model.mean) / model.scale) @ model.weights
+            weights, good = 0.0, np.zeros(n)
+            for code in range(2**n):
+                y = [code >> i & 1 for i in range(n)]
+                w = np.exp(sum(emit[i] * y[i] for i in range(n)) + sum(model.trans[y[i], y[i + 1]] for i in range(n - 1)))
+                weights += w
+                good += w * np.array(y)
+            share = (good / weights * lengths).sum() / lengths.sum()
+        assert got == pytest.approx(1 / (1 + np.exp(-(model.slope * share + model.bias))), rel=1e-6)
+
+
 # 6. HTML
 
 
@@ -728,6 +748,56 @@ def test_pieces_do_not_depend_on_their_place(sf_dir):
     assert fuzzy.fingerprint("") == "1::"
 
 
+def brute_signature(data, power):
+    """The pieces of a text, byte by byte, and a letter for each from the piece's bytes alone."""
+    roll, piece, mask = int(fuzzy.ROLL), int(fuzzy.PIECE), (1 << 64) - 1
+    spread = lambda x: (y := ((x ^ (x >> 29)) * roll) & mask) ^ (y >> 32)
+    letters, held = "", []
+    ends = []
+    for i, byte in enumerate(data):
+        held.append(byte)
+        window = sum((b + 1) * pow(roll, k, 1 << 64) for k, b in enumerate(reversed(data[max(0, i - 6) : i + 1])))
+        if spread(window & mask) & ((1 << power) - 1) == 0:
+            ends.append(len(letters))
+            letters += fuzzy.ALPHABET.tobytes().decode()[spread(sum((b + 1) * pow(piece, k, 1 << 64) for k, b in enumerate(held)) & mask) >> 58]
+            held = []
+    if held:
+        letters += fuzzy.ALPHABET.tobytes().decode()[spread(sum((b + 1) * pow(piece, k, 1 << 64) for k, b in enumerate(held)) & mask) >> 58]
+    return letters, len(ends)
+
+
+def brute_likeness(a, b):
+    """1 - edit distance / both lengths, by the table of insertions and deletions, if a run of letters is shared."""
+    run = max(1, min(7, min(len(a), len(b)) // 4))
+    if a != b and not any(a[i : i + run] in b for i in range(len(a) - run + 1)):
+        return 0.0
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(row[j - 1] if x == y else 1 + min(row[j], new[-1]))
+        row = new
+    return 1 - row[-1] / max(1, len(a) + len(b))
+
+
+def test_fingerprints_byte_by_byte():
+    texts = ["a", "short text", LONG * 3, "é日本 " * 60, "x" * 500, " ".join(f"w{i * i % 97}" for i in range(700)), " ".join(f"w{i * i % 97}" for i in range(40, 700))]
+    found = []
+    for text in texts:
+        data = text.encode()
+        size, one, two = fuzzy.fingerprint(text).split(":")
+        power = int(size).bit_length() - 1
+        assert (brute_signature(data, power)[0], brute_signature(data, power + 1)[0]) == (one, two)
+        assert brute_signature(data, power)[1] <= 192
+        assert power == 0 or brute_signature(data, power)[1] >= 32 or brute_signature(data, power - 1)[1] > 192
+        found.append({int(size): one, 2 * int(size): two})
+    for i, a in enumerate(found):
+        for j, b in enumerate(found):
+            want = max((brute_likeness(a[k], b[k]) for k in a if k in b), default=0.0)
+            got = fuzzy.likeness(fuzzy.fingerprint(texts[i]), fuzzy.fingerprint(texts[j]))
+            assert got == pytest.approx(1.0 if i == j else want)
+
+
 def test_fuzzy(docs, rows, empty):
     order = sorted(((r["doc_id"], r["text"] or "") for r in rows), key=lambda x: (x[0] is None, x[0] or 0, xxhash.xxh64_intdigest(x[1].encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(x[1].encode(), 42) >> 63)))
     want = Counter()
