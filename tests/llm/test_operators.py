@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from seqscope.llm import embeddings, fuzzy, html_text, mixing, packing, pretoken, quality, secrets, simhash, tokens, warc
 from seqscope.llm import queries as llm_queries
-from seqscope.llm.common import components, shared_dir
+from seqscope.llm.common import components, save, shared_dir
 
 ODD = [None, "", " ", "\n\t ", "a", "it's we'll I'Ve 've''s", "one two three", "<|endoftext|>", "x<|endoftext|> y", "日本語 テキスト é", "a" * 3000, "password=abc token: Xy12345678 k", "tie tie", "tie tie", " x　y"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, content string, spans string, score double"
@@ -895,13 +895,14 @@ def test_odd_texts_count_as_the_library_counts(spark, odd_dir):
 
 
 def test_pipeline_on_odd_tables(spark, odd_dir, empty_dir):
-    docs = spark.read.parquet(f"{odd_dir}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, odd_dir).columns == docs.columns
-        assert stage(spark, docs.limit(0), odd_dir).count() == 0
-    ids = {r.doc_id for r in corpus_pipeline.run(spark, odd_dir).select("doc_id").distinct().collect()}
-    assert ids and ids <= {r.doc_id for r in docs.collect()}
-    assert corpus_pipeline.run(spark, empty_dir).count() == 0
+    for folder in (odd_dir, empty_dir):
+        docs = first = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            docs = save(stage(spark, docs, folder))
+            assert docs.columns == first.columns
+        ids = {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, folder).select("doc_id").distinct().collect()}
+        assert ids <= {r.doc_id for r in first.collect()}
+        assert bool(ids) == (folder == odd_dir)
 
 
 def test_fit_takes_documents_within_its_bound(spark, monkeypatch):
