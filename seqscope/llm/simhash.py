@@ -351,6 +351,8 @@ def linked(fps: np.ndarray, sets: list[np.ndarray], tenths: int, radius: int, kn
     for first, second in close_pairs(fps, np.zeros(len(fps), np.int64), radius):
         apart = root[first] != root[second]
         first, second = first[apart], second[apart]
+        if not len(first):
+            continue
         order = np.argsort(first, kind="stable")
         for i, close in similar(sets, first[order], second[order], tenths, root):
             hang(root, np.full(len(close), i), close)
