@@ -8,6 +8,8 @@ indexes gives; slots and blocks meet in a join on (source, block).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +34,24 @@ def sides(n: Column) -> tuple[Column, Column]:
     return a, F.ceil(n / a)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
 def rounds(x: Column, a: Column, b: Column, key: Column, inverse: bool = False) -> Column:
     """A keyed Feistel network on the numbers below a * b: x = left + a * right, where each half in turn is moved by a hash of the other."""
-    left, right = F.pmod(x, a), F.floor(x / a)
-    for k in reversed(range(ROUNDS)) if inverse else range(ROUNDS):
-        n, own, other = (a, left, right) if k % 2 == 0 else (b, right, left)
-        by = F.pmod(F.xxhash64(other, key, F.lit(k)), n)
+    order = range(ROUNDS - 1, -1, -1) if inverse else range(ROUNDS)
+
+    def step(s: Column, k: Column) -> Column:
+        even = k % 2 == 0
+        n, own, other = (F.when(even, p).otherwise(q) for p, q in ((a, b), (s["left"], s["right"]), (s["right"], s["left"])))
+        by = F.pmod(F.xxhash64(other, key, k), n)
         moved = F.pmod(own - by if inverse else own + by, n)
-        left, right = (moved, right) if k % 2 == 0 else (left, moved)
-    return left + a * right
+        return F.struct(F.when(even, moved).otherwise(s["left"]).alias("left"), F.when(even, s["right"]).otherwise(moved).alias("right"))
+
+    start = F.struct(F.pmod(x, a).alias("left"), F.floor(x / a).alias("right"))
+    return bound(F.aggregate(F.array(*map(F.lit, order)), start, step), lambda s: s["left"] + a * s["right"])
 
 
 def permuted(x: Column, n: Column, key: Column, inverse: bool = False) -> Column:
@@ -51,12 +62,16 @@ def permuted(x: Column, n: Column, key: Column, inverse: bool = False) -> Column
     cells are out of range: with up to WALK of them the walk ends for sure, with more it is longer
     with a chance below 1 in WALK ** WALK, and is an error then.
     """
+
+    def within(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        on = lambda v, _: F.when(v < n, v).otherwise(rounds(v, a, b, key, inverse))
+        walk = lambda v: F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), v, on)
+        checked = lambda v: F.when(v < n, v).otherwise(F.raise_error(F.lit("walk of a permutation is too long")).cast("long"))
+        return bound(rounds(x, a, b, key, inverse), lambda v: F.when(v < n, v).otherwise(bound(walk(v), checked)))
+
     a, b = sides(n)
-    first = rounds(x, a, b, key, inverse)
-    on = lambda v, _: F.when(v < n, v).otherwise(rounds(v, a, b, key, inverse))
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), first, on)
-    checked = F.transform(F.array(walked), lambda v: F.when(v < n, v).otherwise(F.raise_error(F.lit("walk of a permutation is too long")).cast("long")))[0]
-    return F.when(first < n, first).otherwise(checked)
+    return bound(F.struct(a.alias("a"), b.alias("b")), within)
 
 
 def targets(sizes: DataFrame, weights: int = 3, most: int = 3) -> DataFrame:
