@@ -66,7 +66,8 @@ def tail_pvalues(windows: DataFrame, reference: DataFrame | str, buckets: Sequen
 
     reference is a table of pools (bucket, score), or the name of a boolean column of windows that marks
     the reference. Windows whose bucket has a pool are ranked once; the rank among all pools is for
-    the others only, and isn't planned if bare (see bare_buckets) says that there are none.
+    the others only, and isn't planned if bare (see bare_buckets) says that there are none. Without any reference score
+    a window's p-value is an error.
     """
     rows = windows.withColumn("bucket", C.bucket(F.col("end_pos"), buckets)).withColumn("__own", F.col("score")).withColumn("__query", F.lit(1))
     marked = F.coalesce(F.col(reference) & C.finite(F.col("score")), F.lit(False)).cast("int") if isinstance(reference, str) else F.lit(0)
@@ -81,7 +82,8 @@ def tail_pvalues(windows: DataFrame, reference: DataFrame | str, buckets: Sequen
             again, out = rows.withColumn("__bare", F.col("bucket").isin(*bare)), out.where(~F.col("bucket").isin(*bare))
         every = _tail(again.where("__bare or __ref = 1").withColumn("__every", F.lit(0)), "__every")
         out = out.unionByName(every.where("__bare").drop("__bare", "__every"))
-    out = out.where("__query = 1").withColumn("num", (1 + F.col("ge")).cast("long")).withColumn("den", (1 + F.col("n")).cast("long")).withColumn("score", F.col("__own"))
+    pool = F.when(F.col("n") > 0, F.col("n")).otherwise(F.raise_error(F.lit("no finite reference score")).cast("long"))
+    out = out.where("__query = 1").withColumn("num", (1 + F.col("ge")).cast("long")).withColumn("den", (1 + pool).cast("long")).withColumn("score", F.col("__own"))
     return out.withColumn("p_value", C.clipped(F.col("num") / F.col("den"), clip)).drop("__own", "__query", "__ref", "ge", "n")
 
 

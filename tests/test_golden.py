@@ -23,6 +23,14 @@ def test_tail_pvalues(spark):
     assert got == {1: (3, 4), 2: (3, 5), 3: (1, 4), 4: (1, 4)}
 
 
+def test_pvalues_need_a_reference(spark):
+    rows = spark.createDataFrame([(1, 100, 2.0, False)], "run_id long, end_pos long, score double, mine boolean")
+    for reference in ("mine", spark.createDataFrame([("0-512", float("nan"))], "bucket string, score double").where("not isnan(score)")):
+        with pytest.raises(Exception, match="no finite reference"):
+            calibration.tail_pvalues(rows, reference).collect()
+    assert calibration.tail_pvalues(rows.limit(0), "mine").count() == 0
+
+
 def test_clip(spark):
     assert one(spark, C.clipped(F.lit(0.1), 0.2)) == 0.2
 
