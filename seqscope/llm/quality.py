@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import by_size, text_of
 
 #: At most so many labelled documents, of at most so many characters together, fit the model.
-FIT_ROWS, FIT_CHARS = 4000, 32_000_000
+FIT_ROWS, FIT_CHARS = 4000, 8_000_000
 THRESHOLD = 0.7
 #: Lines that are padded into one block of chains, at most (a longer chain is a block of its own).
 BLOCK_LINES = 1 << 16
