@@ -20,7 +20,7 @@ CAPACITY = 2048
 #: Pre-tokens whose ids a worker keeps; it starts anew beyond.
 CACHE = 200_000
 #: Rows that one window group of the ranks has, about.
-GROUP_ROWS = 4_000
+GROUP_ROWS = 1_000
 
 
 class Encoder:
