@@ -161,7 +161,7 @@ _OWN = f"""{_POOLED}, p AS (SELECT *, (1 + count(*) OVER (PARTITION BY bucket OR
 @query(f"WITH {_OWN} SELECT round(h, 6) AS selected_h, round(CASE WHEN rate <= 0.05 THEN rate ELSE 1 END, 6) AS rate, rate <= 0.05 AS feasible, runs FROM r ORDER BY rate > 0.05, CASE WHEN rate <= 0.05 THEN k ELSE -k END LIMIT 1")
 def c15_calibrated_threshold(spark, sf_dir):
     """Pools and p-values of the same windows, and the threshold that they select."""
-    _, one = calibration.calibrated(_event_windows(spark, sf_dir))
+    _, one = calibration.calibrated(_event_windows(spark, sf_dir), detector=sequences.UNCLIPPED)
     return rounded(one.select("selected_h", "rate", "feasible", "runs"))
 
 
