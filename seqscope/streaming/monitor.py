@@ -36,11 +36,13 @@ class Calibrator:
         self.all = sorted(v for own in self.pools.values() for v in own)
         if not self.all:
             raise ValueError("no finite reference score")
+        self.ranges = [(a, math.inf if b is None else b, self.pools.get(bucket_name(a, b)) or self.all) for a, b in buckets]
 
     def p_value(self, score: float, end_pos: int) -> float:
         x = score if math.isfinite(score) else math.inf
-        low, high = next(((a, b) for a, b in self.buckets if end_pos >= a and (b is None or end_pos < b)), self.buckets[-1])
-        pool = self.pools.get(bucket_name(low, high)) or self.all
+        for low, high, pool in self.ranges:
+            if low <= end_pos < high:
+                break  # positions that no bucket holds belong to the last one
         return min(1.0, max(self.clip, (1 + len(pool) - bisect.bisect_left(pool, x)) / (len(pool) + 1)))
 
 
@@ -73,6 +75,10 @@ class Monitor:
         self.seen: dict[tuple[int, ...], tuple[int, float]] = {}
         self.grams: list[tuple[int, int, tuple[int, ...], bool, float]] = []
         self.entropy = [0.0]  # running sums
+        # The tokens' columns, so that n-grams and windows are slices.
+        self.ids: list[int] = []
+        self.logprobs: list[float] = []
+        self.entropies: list[float] = []
         self.prompt_grams = {self.prompt[i : i + n] for n in range(w.ngram_min, w.ngram_max + 1) for i in range(len(self.prompt) - n + 1)} if w.exclude_prompt_ngrams else set()
         kept, self.tokens = self.tokens, []
         for t in kept:
@@ -80,20 +86,24 @@ class Monitor:
 
     def _add(self, token: Token) -> None:
         self.tokens.append(token)
+        ids, logprobs, seen, w = self.ids, self.logprobs, self.seen, self.config.window
+        ids.append(token[0])
+        logprobs.append(token[1])
+        self.entropies.append(token[2])
         self.entropy.append(self.entropy[-1] + token[2])
-        n, w = len(self.tokens), self.config.window
-        for size in range(w.ngram_min, w.ngram_max + 1):
-            if size > n:
-                break
-            own = self.tokens[n - size :]
-            gram = tuple(t[0] for t in own)
+        n = len(ids)
+        for size in range(w.ngram_min, min(w.ngram_max, n) + 1):
+            gram = tuple(ids[n - size :])
             if gram in self.prompt_grams:
                 continue
-            mean = sum(t[1] for t in own) / size
-            count, total = self.seen.get(gram, (0, 0.0))
-            delta = max(0.0, mean - total / count) if count else 0.0
-            self.grams.append((n - size, n, gram, count > 0, delta))
-            self.seen[gram] = count + 1, total + mean
+            mean = sum(logprobs[n - size :]) / size
+            old = seen.get(gram)
+            if old is None:
+                self.grams.append((n - size, n, gram, False, 0.0))
+                seen[gram] = 1, mean
+            else:
+                self.grams.append((n - size, n, gram, True, max(0.0, mean - old[1] / old[0])))
+                seen[gram] = old[0] + 1, old[1] + mean
 
     def within(self, low: int) -> list[tuple[int, int, tuple[int, ...], bool, float]]:
         """The n-grams that start at low or after, in order; they are in order of their ends, so older ones aren't looked at."""
@@ -108,9 +118,16 @@ class Monitor:
     def features(self, low: int) -> dict[str, Any]:
         w = self.config.window
         high = low + w.size
-        own = self.tokens[low:high]
-        inside = [g for g in self.within(low) if g[1] <= high]
-        mean = sum(t[2] for t in own) / w.size
+        inside, repeated, loop = 0, 0, 0.0
+        for g in reversed(self.grams):  # in order of their ends
+            if g[1] <= low:
+                break
+            if g[0] >= low and g[1] <= high:
+                inside += 1
+                if g[3]:
+                    repeated += 1
+                    loop = max(loop, g[4])
+        mean = sum(self.entropies[low:high]) / w.size
         prefix = self.entropy[high] / high
         ratio = math.log((mean + EPS) / (prefix + EPS))
         out = {
@@ -118,9 +135,9 @@ class Monitor:
             "start_pos": low,
             "end_pos": high,
             "mean_entropy": mean,
-            "mean_logprob": sum(t[1] for t in own) / w.size,
-            "repetition_rate": sum(g[3] for g in inside) / len(inside) if inside else 0.0,
-            "confident_loop": max((g[4] for g in inside), default=0.0),
+            "mean_logprob": sum(self.logprobs[low:high]) / w.size,
+            "repetition_rate": repeated / inside if inside else 0.0,
+            "confident_loop": loop,
             "local_pos": max(0.0, ratio),
             "local_neg": max(0.0, -ratio),
         }
@@ -264,7 +281,10 @@ SUMMARY = "run_id string, sampled long, emitted long, deleted long, windows long
 
 
 def generate(runs: DataFrame, source: TokenSource, config: Config, pools: Mapping[str, list[float]], max_new_tokens: int = 400, backtrack: bool = True) -> DataFrame:
-    """A row of accounts for each run_id, with tokens drawn from a source in the executors."""
+    """A row of accounts for each run_id, with tokens drawn from a source in the executors.
+
+    Ids are few bytes and much work, so they are dealt to all cores whatever the table's splits are.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         calibrator = Calibrator(pools, clip=config.detector.p_clip)
@@ -277,7 +297,8 @@ def generate(runs: DataFrame, source: TokenSource, config: Config, pools: Mappin
                 rows.append((str(run_id), m.sampled, len(m.tokens), m.deleted, count("window"), count("alarm"), m.rerolls, reason, [t[0] for t in m.tokens]))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in SUMMARY.split(", ")])
 
-    return runs.select("run_id").mapInPandas(run, SUMMARY)
+    dealt = runs.select("run_id").repartition(4 * runs.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInPandas(run, SUMMARY)
 
 
 EVENTS = "run_id string, window_index long, end_pos long, score double, p_value double, logE double, alarm boolean, changepoint long, rollback_pos long"

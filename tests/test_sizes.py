@@ -19,3 +19,8 @@ def test_small_pvalues_of_many_events_are_not_clipped(spark, sf_dir, monkeypatch
     assert first("t07_log_mixture").log_e == pytest.approx(math.log(e))
     assert first("d02_no_reset").loge == pytest.approx(math.log(e), abs=1e-5)
     assert first("d04_refractory_replay").loge == pytest.approx(math.log(e), abs=1e-5)
+
+
+def test_generated_runs_are_dealt_to_all_cores(spark, sf_dir):
+    """A table of ids is one split of a file, however many runs it stands for."""
+    assert QUERIES["g01_generation_accounts"](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
