@@ -180,9 +180,14 @@ def window_features(tokens: DataFrame, config: WindowConfig | None = None, promp
         F.count_if(gram & F.col("repeated")).alias("n_repeats"),
         F.max(F.when(gram, F.col("delta"))).alias("loop"),
     )
+    return finished(out.where(F.col("n_tokens") == w.size).withColumns({"start_pos": F.col("window_index") * w.stride, "end_pos": F.col("window_index") * w.stride + w.size}))
+
+
+def finished(windows: DataFrame) -> DataFrame:
+    """Sums of full windows with the features that follow from them."""
     rate = F.when(F.col("n_ngrams") > 0, F.col("n_repeats") / F.col("n_ngrams")).otherwise(F.lit(0.0))
-    start, ratio = F.col("window_index") * w.stride, F.log((F.col("mean_entropy") + EPS) / (F.col("prefix_entropy") + EPS))
-    out = out.where(F.col("n_tokens") == w.size).select("run_id", "window_index", start.alias("start_pos"), (start + w.size).alias("end_pos"), "mean_entropy", "mean_logprob", "prefix_entropy", "n_ngrams", "n_repeats", rate.alias("repetition_rate"), F.coalesce("loop", F.lit(0.0)).alias("confident_loop"), ratio.alias("log_ratio"))
+    ratio = F.log((F.col("mean_entropy") + EPS) / (F.col("prefix_entropy") + EPS))
+    out = windows.select("run_id", "window_index", "start_pos", "end_pos", "mean_entropy", "mean_logprob", "prefix_entropy", "n_ngrams", "n_repeats", rate.alias("repetition_rate"), F.coalesce("loop", F.lit(0.0)).alias("confident_loop"), ratio.alias("log_ratio"))
     return out.withColumn("local_pos", F.greatest(F.lit(0.0), F.col("log_ratio"))).withColumn("local_neg", F.greatest(F.lit(0.0), -F.col("log_ratio")))
 
 

@@ -24,3 +24,42 @@ def test_small_pvalues_of_many_events_are_not_clipped(spark, sf_dir, monkeypatch
 def test_generated_runs_are_dealt_to_all_cores(spark, sf_dir):
     """A table of ids is one split of a file, however many runs it stands for."""
     assert QUERIES["g01_generation_accounts"](spark, sf_dir).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+ODD = [None, "", " \t\n", "<s> <s> <s>", "one", "\x0b a b é \x0b", "  lead and trail \r\f", "x" * 5000 + " y " + "x" * 5000, "eightchr ninechars sevench " * 40, " ".join(f"w{i % 9} v{i % 11}" for i in range(700)), " ".join("ab"[i % 2] for i in range(64)), "a b c d e f g h " * 8, "ä ö ü 漢字 😀 " * 50]
+
+
+@pytest.mark.parametrize("chunk", [500_000, 100])
+def test_runs_of_texts_equal_those_of_tokens(spark, chunk, monkeypatch):
+    """Windows and repeated n-grams on arrays of a block against those of token rows."""
+    from seqscope.operators import runs, sequence
+
+    monkeypatch.setattr(runs, "CHUNK", chunk)
+    monkeypatch.setattr(runs, "SMALL_BLOCK", 4000)
+    texts = ODD + [" ".join(str((i * j) % 37) for j in range(i * 7)) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    model, tokens = runs.Model(docs), sequence.bigram_tokens(sequence.split_tokens(docs, prev=True)).cache()
+    assert model.n > 1
+    got = {(r.run_id, r.window_index): r for r in model.windows().collect()}
+    want = {(r.run_id, r.window_index): r for r in sequence.window_features(tokens).collect()}
+    assert len(want) > 50
+    assert got.keys() == want.keys()
+    for k, r in want.items():
+        assert got[k].asDict() == pytest.approx(r.asDict(), rel=1e-9, abs=1e-11)
+    grams = sequence.repeats(sequence.ngrams(tokens)).where("repeated")
+    rows = lambda df: {(r.run_id, r.n, r.start_pos, r.end_pos): r.delta for r in df.collect()}
+    want = rows(grams)
+    assert len(want) > 1000
+    assert rows(model.repeated()) == pytest.approx(want, rel=1e-9, abs=1e-11)
+    some = spark.createDataFrame([(8,), (11,), (8,)], "run_id long")
+    assert rows(model.repeated(some)) == pytest.approx({k: v for k, v in want.items() if k[0] in (8, 11)}, rel=1e-9, abs=1e-11)
+    empty = runs.Model(docs.where("doc_id < 3"))
+    assert empty.windows().count() == empty.repeated().count() == runs.Model(docs.limit(0)).windows().count() == 0
+
+
+@pytest.mark.parametrize("name", "w12_window_features w06_confident_loop w15_rescore_ablation d07_direct_threshold c16_score_quantiles".split())
+def test_windows_need_no_rows_of_tokens(spark, sf_dir, name):
+    """Token rows in a shuffle or a sort are many times the texts' size."""
+    plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+    assert "posexplode" not in plan
