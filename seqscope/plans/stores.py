@@ -130,8 +130,9 @@ def s11_read_and_delete(spark, sf_dir):
 
 @query(f"WITH {sequences.WINDOWS} SELECT CAST(run_id AS VARCHAR) AS run_id, window_index, round(repetition_rate, 6) AS repetition_rate, round(score, 6) AS score FROM scored")
 def k02_feature_sink(spark, sf_dir):
+    """Lines name each feature in each window, so plain ones are many times the windows' size."""
     folder = new_folder(spark)
-    jsonl.write_features(sequences.windows_of(spark, sf_dir), folder)
+    jsonl.write_features(sequences.windows_of(spark, sf_dir), folder, compression="gzip")
     return rounded(jsonl.features(spark, folder).select("run_id", "window_index", "repetition_rate", "score"))
 
 

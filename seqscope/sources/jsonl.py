@@ -114,10 +114,10 @@ def write_events(events: DataFrame, path: str, mode: str = "error") -> None:
 FEATURES = "run_id string, features struct<window_index:long,start_pos:long,end_pos:long,mean_entropy:double,mean_logprob:double,repetition_rate:double,confident_loop:double,local_pos:double,local_neg:double>, score double"
 
 
-def write_features(windows: DataFrame, path: str, mode: str = "error") -> None:
-    """Window features as JSON lines: run_id, features and score."""
+def write_features(windows: DataFrame, path: str, mode: str = "error", compression: str | None = None) -> None:
+    """Window features as JSON lines: run_id, features and score. compression: a codec such as gzip."""
     names = [f.split(":")[0] for f in FEATURES[FEATURES.index("<") + 1 : FEATURES.index(">")].split(",")]
-    windows.select(F.col("run_id").cast("string").alias("run_id"), F.struct(*names).alias("features"), "score").write.mode(mode).json(path)
+    windows.select(F.col("run_id").cast("string").alias("run_id"), F.struct(*names).alias("features"), "score").write.mode(mode).json(path, compression=compression)
 
 
 def features(spark: SparkSession, path: str | list[str]) -> DataFrame:

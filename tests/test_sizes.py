@@ -68,3 +68,16 @@ def test_windows_need_no_rows_of_tokens(spark, sf_dir, name):
 def test_faulty_ngrams_of_alarms_need_no_rows_of_tokens(spark, sf_dir):
     plan = QUERIES["w07_faulty_of_alarms"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "posexplode" not in plan
+
+
+def test_feature_lines_are_written_compressed(spark, sf_dir, tmp_path, monkeypatch):
+    """Plain lines are many times the windows' size."""
+    import gzip
+
+    from seqscope.plans import stores
+
+    monkeypatch.setattr(stores, "new_folder", lambda spark: str(tmp_path / "sink"))
+    n = QUERIES["k02_feature_sink"](spark, sf_dir).count()
+    files = list((tmp_path / "sink").glob("part-*"))
+    assert all(f.name.endswith(".json.gz") for f in files)
+    assert n == sum(len(gzip.decompress(f.read_bytes()).splitlines()) for f in files) > 0
