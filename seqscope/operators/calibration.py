@@ -37,6 +37,10 @@ def reference_summary(windows: DataFrame, buckets: Sequence[tuple[int, int | Non
     return rows.groupBy("bucket").agg(F.count("*").alias("windows"), F.countDistinct("run_id").alias("trajectories"))
 
 
+def _class(score: str = "score") -> Column:
+    return F.floor(F.least(F.greatest(F.col(score), F.lit(-1e6)), F.lit(1e6)) * CLASSES).cast("long")
+
+
 def _tail(rows: DataFrame, by: str) -> DataFrame:
     """rows (score, __ref: 1 for a reference score, else 0) with ge (reference scores of their `by` that
     aren't below theirs) and n (all of it).
@@ -44,8 +48,7 @@ def _tail(rows: DataFrame, by: str) -> DataFrame:
     A group of scores is sorted in classes: those above are summed up from class counts, those within are
     counted by a RANGE frame. So a bucket with most rows is many tasks' work.
     """
-    cls = F.floor(F.least(F.greatest(F.col("score"), F.lit(-1e6)), F.lit(1e6)) * CLASSES).cast("long")
-    both = rows.withColumn("__class", cls)
+    both = rows.withColumn("__class", _class())
     sums = both.groupBy(by, "__class").agg(F.sum("__ref").alias("__n"))
     down = Window.partitionBy(by).orderBy(F.desc("__class"))
     sums = sums.select(F.col(by).alias("__by"), F.col("__class").alias("__c"), (F.sum("__n").over(down) - F.col("__n")).alias("__above"), F.sum("__n").over(Window.partitionBy(by)).alias("n"))
@@ -114,9 +117,23 @@ def select_threshold(grid: DataFrame, target: float = 0.05) -> DataFrame:
 
 
 def score_quantiles(windows: DataFrame, by: str, q: float = 0.5) -> DataFrame:
-    """Exact quantile (linear between ranks), mean, least and largest score and their number, for each group."""
-    rows = windows.where(C.finite(F.col("score")))
-    return rows.groupBy(by).agg(F.percentile("score", q).alias("mu0"), F.avg("score").alias("mean"), F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("windows"), F.countDistinct("run_id").alias("runs"))
+    """Exact quantile (linear between ranks), mean, least and largest score and their number, for each group.
+
+    Counts of classes tell which ones hold the quantile; only their scores are kept, those below and above are
+    just counted, so that no task has all scores of a group. A row for each group is broadcast; windows are read three times.
+    """
+    rows = windows.where(C.finite(F.col("score"))).withColumn("__class", _class())
+    counts = rows.groupBy(by, "__class").agg(F.count("*").alias("__n"))
+    middle = counts.groupBy(F.col(by).alias("__by")).agg(F.percentile("__class", q, F.col("__n")).alias("__c"))
+    # A class more on either side, as the quantile of classes is rounded.
+    sides = F.max(F.when(F.col("__class") < F.col("__c") - 1e-3, F.col("__class"))).alias("__a"), F.min(F.when(F.col("__class") > F.col("__c") + 1e-3, F.col("__class"))).alias("__b")
+    around = counts.join(F.broadcast(middle), F.col(by).eqNullSafe(F.col("__by"))).groupBy("__by").agg(*sides)
+    value = F.when(F.col("__class") < F.col("__a"), float("-inf")).when(F.col("__class") > F.col("__b"), float("inf")).otherwise(F.col("score"))
+    near = rows.join(F.broadcast(around), F.col(by).eqNullSafe(F.col("__by"))).groupBy("__by", value.alias("__v")).agg(F.count("*").alias("__m"))
+    quantiles = near.groupBy("__by").agg(F.percentile("__v", q, F.col("__m")).alias("mu0"))
+    runs = rows.groupBy(by, "run_id").agg(F.sum("score").alias("__sum"), F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("__n"))
+    sums = runs.groupBy(by).agg((F.sum("__sum") / F.sum("__n")).alias("mean"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("__n").alias("windows"), F.count("run_id").alias("runs"))
+    return sums.join(F.broadcast(quantiles), F.col(by).eqNullSafe(F.col("__by"))).select(by, "mu0", "mean", "low", "high", "windows", "runs")
 
 
 def normalized_runs(runs: DataFrame) -> DataFrame:

@@ -145,3 +145,29 @@ def test_runs_may_have_ids_of_any_kind(spark, monkeypatch):
     assert all(got[k] == pytest.approx(v, rel=1e-9, abs=1e-11) for k, v in want.items())
     other = model.repeated(spark.createDataFrame([("run 39",), ("nobody",)], "run_id string"))
     assert {r.run_id for r in other.collect()} == {"run 39"}
+
+
+def test_quantiles_keep_few_scores(spark, monkeypatch):
+    """A percentile of all scores is one task's map of every different one."""
+    import random
+
+    from seqscope.operators import calibration
+
+    rng = random.Random(7)
+    rows = [(i % 50, by, score) for by, scores in {
+        "a": [rng.random() * 3 for _ in range(2001)], "b": [rng.gauss(0, 1e3) for _ in range(1000)], "same": [0.25] * 400, "two": [-5.0, 1e300],
+        "one": [2.0], "ends": [0.0] * 10 + [9.0] * 10, None: [1.0, 2.0, float("nan"), float("inf")], "close": [0.1 + i * 1e-9 for i in range(500)],
+    }.items() for i, score in enumerate(scores)]
+    windows = spark.createDataFrame(rows, "run_id long, by string, score double").cache()
+    finite = windows.where("score > double('-inf') and score < double('inf')")
+    for q in (0.5, 0.0, 1.0, 0.3, 0.999):
+        want = finite.groupBy("by").agg(F.percentile("score", q), F.avg("score"), F.min("score"), F.max("score"), F.count("*"), F.countDistinct("run_id")).collect()
+        got = {r.by: list(r)[1:] for r in calibration.score_quantiles(windows, "by", q).collect()}
+        assert len(want) == len(got) == 8
+        for r in want:
+            assert got[r.by] == pytest.approx(list(r)[1:], rel=1e-12, abs=1e-12)
+    kept = []
+    monkeypatch.setattr(calibration.F, "percentile", lambda c, q, n=None, own=F.percentile: kept.append((c, n)) or own(c, q, 1 if n is None else n))
+    calibration.score_quantiles(windows, "by")
+    assert [c for c, _ in kept] == ["__class", "__v"]
+    assert all(n is not None for _, n in kept)
