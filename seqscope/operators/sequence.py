@@ -183,11 +183,11 @@ def window_features(tokens: DataFrame, config: WindowConfig | None = None, promp
     return finished(out.where(F.col("n_tokens") == w.size).withColumns({"start_pos": F.col("window_index") * w.stride, "end_pos": F.col("window_index") * w.stride + w.size}))
 
 
-def finished(windows: DataFrame) -> DataFrame:
-    """Sums of full windows with the features that follow from them."""
+def finished(windows: DataFrame, *more: str) -> DataFrame:
+    """Sums of full windows with the features that follow from them, and more columns as they are."""
     rate = F.when(F.col("n_ngrams") > 0, F.col("n_repeats") / F.col("n_ngrams")).otherwise(F.lit(0.0))
     ratio = F.log((F.col("mean_entropy") + EPS) / (F.col("prefix_entropy") + EPS))
-    out = windows.select("run_id", "window_index", "start_pos", "end_pos", "mean_entropy", "mean_logprob", "prefix_entropy", "n_ngrams", "n_repeats", rate.alias("repetition_rate"), F.coalesce("loop", F.lit(0.0)).alias("confident_loop"), ratio.alias("log_ratio"))
+    out = windows.select("run_id", "window_index", "start_pos", "end_pos", "mean_entropy", "mean_logprob", "prefix_entropy", "n_ngrams", "n_repeats", rate.alias("repetition_rate"), F.coalesce("loop", F.lit(0.0)).alias("confident_loop"), ratio.alias("log_ratio"), *more)
     return out.withColumn("local_pos", F.greatest(F.lit(0.0), F.col("log_ratio"))).withColumn("local_neg", F.greatest(F.lit(0.0), -F.col("log_ratio")))
 
 

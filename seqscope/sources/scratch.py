@@ -8,6 +8,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,12 +45,29 @@ def new_folder(spark: SparkSession, prefix: str = "seqscope") -> str:
     return path
 
 
-def save(df: DataFrame, *partition_by: str, path: str | None = None) -> DataFrame:
+@contextlib.contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile leaves no exchanges on disk: Spark removes them when a run ends, and not when the driver's garbage is collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def save(df: DataFrame, *partition_by: str, path: str | None = None, release: bool = False) -> DataFrame:
     """The same rows, written as Parquet into the shared folder (or the folder path) and read back.
 
     Lineage ends there, so a lost executor costs no recomputation of what came before. Written tables
-    hold less than a checkpoint does and let later scans prune columns.
+    hold less than a checkpoint does and let later scans prune columns. With release, the exchanges that the rows
+    came through are removed as soon as they are written.
     """
     path = path or new_folder(df.sparkSession)
-    df.write.parquet(path, partitionBy=list(partition_by) or None)
+    with released(df.sparkSession) if release else contextlib.nullcontext():
+        df.write.parquet(path, partitionBy=list(partition_by) or None)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,6 +1,9 @@
 """What only shows in large tables, on small ones."""
 
+import contextlib
 import math
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -103,6 +106,56 @@ def test_windows_shuffle_no_more_than_texts_and_packed_pairs(spark, sf_dir, name
     assert 0 < shuffled(spark, QUERIES[name](spark, sf_dir)) < 1.2 * text
 
 
+def left_on_disk(spark):
+    """Bytes of each file of an exchange that a local folder has."""
+    folders = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()
+    found = {}
+    for f in (f for d in folders for f in Path(d).glob("*/shuffle_*.data")):
+        with contextlib.suppress(FileNotFoundError):  # it was removed meanwhile
+            found[f] = f.stat().st_size
+    return found
+
+
+def grown(spark, before, most):
+    """Bytes of files that weren't there before; those that are being removed get some time for it."""
+    for _ in range(50):
+        n = sum(size for f, size in left_on_disk(spark).items() if f not in before)
+        if n <= most:
+            break
+        time.sleep(0.1)
+    return n
+
+
+def test_words_exchange_is_gone_before_pairs(spark, sf_dir):
+    """Words are numbered in a run of its own, whose exchanges don't lie beside those of texts and pairs."""
+    from seqscope.operators import runs
+
+    spark.sparkContext._jvm.System.gc()
+    before = left_on_disk(spark)
+    model = runs.Model(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert grown(spark, before, 1000) <= 1000  # the size of the texts is an exchange of its own
+    windows = model.windows()
+    assert windows.count() > 0
+    asked = windows._jdf.queryExecution().executedPlan().toString()
+    assert asked.count("FlatMapGroupsInArrow") == 1  # answers; the words' two steps are not run again
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_blocks_mark_runs(spark, sf_dir):
+    """Which windows are of given runs needs no join of windows; a null is no run."""
+    from seqscope.operators import runs
+
+    docs = spark.createDataFrame([(i, " ".join(str(j % 5) for j in range(64 + 32 * (i or 0)))) for i in (0, 1, 2, 3, None)], "doc_id long, text string")
+    given = spark.createDataFrame([(1,), (3,), (3,), (9,), (None,)], "run_id long")
+    windows = runs.Model(docs).scored(runs=given)
+    assert "Join" not in windows._jdf.queryExecution().executedPlan().toString()
+    got = windows.collect()
+    assert len(got) == 1 + 2 + 3 + 4 + 1
+    assert all(r.marked == (r.run_id in (1, 3)) for r in got)
+    assert not any(r.marked for r in runs.Model(docs).scored(runs=given.limit(0)).collect())
+    assert "marked" not in runs.Model(docs).scored().columns
+
+
 def test_packed_numbers_are_the_same():
     import numpy as np
 
